@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knnspark.llm import chat_format, packing, url_filter
+from knnspark.llm import chat_format, jaccard, packing, url_filter
 from knnspark.llm.common import table
 
 END_OF_TEXT = 2
@@ -53,8 +53,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), list(RULES))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
     "op9_url_filter": op9_url_filter,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
