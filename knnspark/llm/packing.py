@@ -13,6 +13,7 @@ an empty table gives an empty result; a text of any length is cut, never dropped
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -224,11 +225,11 @@ class Places:
         return r[:, 3] + q // r[:, 2], r[:, 4] + q % r[:, 2] * length
 
 
-def pack(parts: DataFrame, capacity: int, order: list[str], rows_a_group: int = 200_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """Adds sequence_id and offset to rows that have a `length` from 1 to capacity.
 
-    order: columns that identify a row. Ranks are counted within (length, salt) groups of about `rows_a_group` rows, so no
-    length, however common, meets in one task.
+    order: columns that identify a row. Ranks are counted within (length, salt) groups; n rows of a length have about
+    sqrt(n) salts, so no length, however common, meets in one task.
     """
     prepare(parts.sparkSession)
     count = parts.groupBy("length").count().collect()
@@ -236,7 +237,7 @@ def pack(parts: DataFrame, capacity: int, order: list[str], rows_a_group: int =
     for r in count:
         histogram[r["length"]] = r["count"]
     places = Places(solve(histogram), capacity)
-    salts = F.create_map(*[F.lit(int(x)) for n in np.flatnonzero(histogram) for x in (n, max(1, -(-int(histogram[n]) // rows_a_group)))]) if histogram.any() else F.create_map(F.lit(0), F.lit(1))
+    salts = F.create_map(*[F.lit(int(x)) for n in np.flatnonzero(histogram) for x in (n, math.isqrt(int(histogram[n]) - 1) + 1)]) if histogram.any() else F.create_map(F.lit(0), F.lit(1))
     salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*order), F.coalesce(salts[F.col("length").cast("int")], F.lit(1))))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
