@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knnspark.llm.common import U64, Scratch, mix, prefix_sums, prepare, slices, span_hash, utf8, words
@@ -139,8 +139,8 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     full = each.filter("n > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     members = each.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(reps, "sig", "left").select("doc_id", "n_shingles", "rep")
-    entries = full.join(reps, (full.sig == reps.sig) & (full.doc_id == reps.rep)).select(F.explode("prefix").alias("t"), F.col("rep").alias("mk"), F.col("rep").alias("id"), F.lit(False).alias("lk"))
-    lists = scratch.keep(_lists(entries))
+    entries = full.join(reps, (full.sig == reps.sig) & (full.doc_id == reps.rep)).select(F.explode("prefix").alias("t"), F.col("rep").alias("mk"), F.col("rep").alias("id"), F.lit(False).alias("lk"), "n")
+    lists = scratch.keep(_lists(entries, dense, percent))
     needed = lists.select("mk").distinct()
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     sets = scratch.keep(sets.select("mk", F.col("mk").alias("id"), "n", F.lit(False).alias("lk"), "d"))
     found, level = [], 0
     while True:
-        rows = lists.join(sets.drop("id", "lk"), "mk")
+        rows = lists.drop("n").join(sets.drop("id", "lk"), "mk")
         small = rows.filter(F.col("m") <= dense).select("t", "id", "n", "lk", "d").repartition("t").sortWithinPartitions("t", "id")
         found.append(scratch.keep(small.mapInArrow(_compare(orders, level), f"a {kind}, b {kind}")))
         dense_lists = lists.filter(F.col("m") > dense)
@@ -162,8 +162,8 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
         against = rows.filter(F.col("m") > dense).select("t", "id", "n", "d").join(pivots, "t")
         step = scratch.keep(against.mapInArrow(_differ(orders), f"t long, mk long, id {kind}, n int, lk boolean, p {kind}, d binary, prefix array<long>"))
         found.append(step.filter("lk AND id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")))
-        entries = step.select(F.explode("prefix").alias("token"), "t", "mk", "id", "lk").select(F.xxhash64("t", "token").alias("t"), "mk", "id", "lk")
-        lists = scratch.keep(_lists(entries))
+        entries = step.select(F.explode("prefix").alias("token"), "t", "mk", "id", "lk", "n").select(F.xxhash64("t", "token").alias("t"), "mk", "id", "lk", "n")
+        lists = scratch.keep(_lists(entries, dense, percent))
         sets, level = step.select("mk", "id", "n", "lk", "d"), level + 1
     links = found[0]
     for more in found[1:]:
@@ -171,11 +171,30 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     return Join(members, scratch.keep(links.distinct()))
 
 
-def _lists(entries: DataFrame) -> DataFrame:
-    """The members of each list that has something to compare; of lists with equal members, one."""
+def _lists(entries: DataFrame, dense: int, percent: int) -> DataFrame:
+    """The members of each list that has something to compare, with list size m and first member.
+
+    Sets that link have sizes within the threshold of each other, so a list of up to `dense` members falls into runs of
+    such sizes, and members with no neighbour in size go. Of lists with equal members, one stays.
+    """
+    sized = _counted(entries).select("t", "m", "head")
+    rows = entries.join(sized, "t")
+    by_size = Window.partitionBy("t").orderBy("n", "mk")
+    apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
+    runs = rows.filter(F.col("m") <= dense).withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size))
+    runs = runs.withColumn("t", F.xxhash64("t", "run")).select(*entries.columns)
+    small = runs.join(_distinct_lists(_counted(runs)), "t")
+    large = rows.filter(F.col("m") > dense).join(_distinct_lists(_counted(entries).filter(F.col("m") > dense)).select("t"), "t", "left_semi")
+    return small.unionByName(large.select(*small.columns))
+
+
+def _counted(entries: DataFrame) -> DataFrame:
     by_token = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("mk")).alias("of"), F.min("mk").alias("head"), F.max("mk").alias("tail"), F.min("lk").alias("all_linked"))
-    useful = by_token.filter("m > 1 AND head < tail AND NOT all_linked").groupBy("m", "of", "head", "tail").agg(F.min("t").alias("t"))
-    return entries.join(useful.select("t", "m", "head"), "t").select("t", "mk", "id", "lk", "m", "head")
+    return by_token.filter("m > 1 AND head < tail AND NOT all_linked")
+
+
+def _distinct_lists(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("m", "of", "head", "tail").agg(F.min("t").alias("t")).select("t", "m", "head")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:

@@ -367,10 +367,13 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, length: int = 200, dense: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, removed (sorted, maximal byte ranges a, b), kept (the remaining bytes), n_bytes of every row."""
+def dedup(docs: DataFrame, length: int = 200, dense: int = 256, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns `carry`, removed (sorted, maximal byte ranges a, b), kept (the remaining bytes), kept_text
+    (the same without characters that a cut has split) and n_bytes of every row."""
     scratch = Scratch(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    more = [F.col(c) for c in carry or []]
+    own = F.struct(F.col(id_col).alias("doc_id"), *more).alias("own")
+    keyed = docs.select(own, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("rk"))
     spans = repeated_spans(keyed, scratch, length, dense)
     by_row = spans.distinct().groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
@@ -385,7 +388,9 @@ def dedup(docs: DataFrame, length: int = 200, dense: int = 256, id_col: str = "d
                     kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                     removed.append([{"a": x, "b": y} for x, y in gone])
                     sizes.append(len(text))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(removed, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "removed", "kept", "n_bytes"])
+                texts = [x.decode("utf-8", "ignore") for x in kept]
+                yield pa.RecordBatch.from_arrays([b.column("own"), pa.array(removed, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["own", "removed", "kept", "kept_text", "n_bytes"])
 
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.join(by_row, "rk", "left").select("doc_id", "text", "ranges").mapInArrow(apply, f"doc_id {kind}, removed array<struct<a:long,b:long>>, kept binary, n_bytes long")
+    kind = keyed.schema["own"].dataType.simpleString()
+    out = keyed.join(by_row, "rk", "left").select("own", "text", "ranges").mapInArrow(apply, f"own {kind}, removed array<struct<a:long,b:long>>, kept binary, kept_text string, n_bytes long")
+    return out.select("own.*", "removed", "kept", "kept_text", "n_bytes")
