@@ -85,7 +85,7 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes, one row at least."""
     i, n = 0, len(offsets) - 1
     while i < n:
