@@ -18,6 +18,7 @@ ignored; empty tables give empty results. Shingles are compared by 64-bit hashes
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from knnspark.llm.common import U64, Scratch, mix, prefix_sums, prepare, slices, span_hash, utf8, words
 from knnspark.llm.components import components
 
-#: Buckets of the count sketch, whatever the corpus: it only orders shingles, and any order gives the same links.
-SKETCH = 1 << 16
+#: Buckets of the count sketch, whatever the corpus (16 MB): it only orders shingles, and any order gives the same links.
+BITS, PART = 22, 16
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _ORDERS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 
@@ -61,13 +62,14 @@ def signature(s: np.ndarray) -> bytes:
 
 @dataclass
 class Orders:
-    """rank: of each sketch bucket, the rarest first."""
+    """counts: of each sketch bucket; shingles of rare buckets come first."""
 
-    rank: np.ndarray
+    counts: np.ndarray
     percent: int
 
     def prefix(self, s: np.ndarray, length: int, order: int) -> np.ndarray:
-        key = (self.rank[(s >> U64(48)).astype(np.int64)] << U64(48)) | (mix(s ^ _ORDERS[order]) >> U64(16))
+        count = np.minimum(self.counts[(s >> U64(64 - BITS)).astype(np.int64)], (1 << 24) - 1).astype(U64)
+        key = (count << U64(40)) | (mix(s ^ _ORDERS[order]) >> U64(24))
         return s[np.argsort(key, kind="stable")[:length]]
 
     def whole(self, s: np.ndarray, order: int) -> np.ndarray:
@@ -97,20 +99,37 @@ def _sets_of(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[np.ndar
 
 
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold the shingles of each bucket, over all documents."""
+    """How many documents hold the shingles of each bucket, over all documents. Tasks send packed parts of their counts."""
+    parts, width = 1 << (BITS - PART), 1 << PART
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+    def packed(total: np.ndarray, part: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int32)
         for b in batches:
             for _, _, sets in _sets_of(b, k):
-                total += np.bincount((np.concatenate(sets) >> U64(48)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+                at, n = np.unique((np.concatenate(sets) >> U64(64 - BITS)).astype(np.int64), return_counts=True)
+                total[at] += n.astype(np.int32)
+        for part in range(parts):
+            mine = total[part * width : (part + 1) * width]
+            if mine.any():
+                yield packed(mine, part)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                totals[part] = totals.get(part, 0) + np.frombuffer(zlib.decompress(data), "<i8")
+        for part, total in totals.items():
+            yield packed(total, part)
 
-    counts = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return out
+    schema = "part int, counts binary"
+    rows = docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
+    out = np.zeros(1 << BITS, np.int64)
+    for r in rows:
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
 @dataclass
@@ -123,8 +142,7 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rank = np.argsort(np.argsort(sketch(docs, k), kind="stable"), kind="stable").astype(U64)
-    orders = Orders(rank, percent)
+    orders = Orders(sketch(docs, k), percent)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,8 +157,8 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     full = each.filter("n > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     members = each.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(reps, "sig", "left").select("doc_id", "n_shingles", "rep")
-    entries = full.join(reps, (full.sig == reps.sig) & (full.doc_id == reps.rep)).select(F.explode("prefix").alias("t"), F.col("rep").alias("mk"), F.col("rep").alias("id"), F.lit(False).alias("lk"), "n")
-    lists = scratch.keep(_lists(entries, dense, percent))
+    entries = full.join(reps, (full.sig == reps.sig) & (full.doc_id == reps.rep)).select(F.explode("prefix").alias("t"), F.col("rep").alias("mk"), "n")
+    lists = _lists(entries, dense, percent, scratch)
     needed = lists.select("mk").distinct()
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +170,18 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     sets = scratch.keep(sets.select("mk", F.col("mk").alias("id"), "n", F.lit(False).alias("lk"), "d"))
     found, level = [], 0
     while True:
-        rows = lists.drop("n").join(sets.drop("id", "lk"), "mk")
+        rows = lists.drop("n").join(sets, "mk")
         small = rows.filter(F.col("m") <= dense).select("t", "id", "n", "lk", "d").repartition("t").sortWithinPartitions("t", "id")
         found.append(scratch.keep(small.mapInArrow(_compare(orders, level), f"a {kind}, b {kind}")))
         dense_lists = lists.filter(F.col("m") > dense)
         if dense_lists.isEmpty():
             break
-        pivots = dense_lists.filter(F.col("mk") == F.col("head")).select("t", "mk", F.col("id").alias("p")).distinct().join(sets.select("mk", F.col("n").alias("pn"), F.col("d").alias("pd")), "mk").drop("mk")
+        pivots = dense_lists.filter(F.col("mk") == F.col("head")).select("t", "mk").distinct().join(sets.select("mk", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd")), "mk").drop("mk")
         against = rows.filter(F.col("m") > dense).select("t", "id", "n", "d").join(pivots, "t")
         step = scratch.keep(against.mapInArrow(_differ(orders), f"t long, mk long, id {kind}, n int, lk boolean, p {kind}, d binary, prefix array<long>"))
         found.append(step.filter("lk AND id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")))
-        entries = step.select(F.explode("prefix").alias("token"), "t", "mk", "id", "lk", "n").select(F.xxhash64("t", "token").alias("t"), "mk", "id", "lk", "n")
-        lists = scratch.keep(_lists(entries, dense, percent))
+        entries = step.select(F.explode("prefix").alias("token"), "t", "mk", "n", "lk").select(F.xxhash64("t", "token").alias("t"), "mk", "n", "lk")
+        lists = _lists(entries, dense, percent, scratch)
         sets, level = step.select("mk", "id", "n", "lk", "d"), level + 1
     links = found[0]
     for more in found[1:]:
@@ -171,25 +189,27 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     return Join(members, scratch.keep(links.distinct()))
 
 
-def _lists(entries: DataFrame, dense: int, percent: int) -> DataFrame:
-    """The members of each list that has something to compare, with list size m and first member.
+def _lists(entries: DataFrame, dense: int, percent: int, scratch: Scratch) -> DataFrame:
+    """t, mk, m, head: the members of each list that has something to compare, its size and first member.
 
-    Sets that link have sizes within the threshold of each other, so a list of up to `dense` members falls into runs of
-    such sizes, and members with no neighbour in size go. Of lists with equal members, one stays.
+    entries: t, mk, n and, below the first level, lk (links with the pivot). Sets that link have sizes within the
+    threshold of each other, so a list of up to `dense` members falls into runs of such sizes, and members with no
+    neighbour in size go. Of lists with equal members, one stays.
     """
-    sized = _counted(entries).select("t", "m", "head")
-    rows = entries.join(sized, "t")
+    shared = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    rows = scratch.keep(entries.join(shared, "t"))
     by_size = Window.partitionBy("t").orderBy("n", "mk")
     apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
     runs = rows.filter(F.col("m") <= dense).withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size))
-    runs = runs.withColumn("t", F.xxhash64("t", "run")).select(*entries.columns)
-    small = runs.join(_distinct_lists(_counted(runs)), "t")
-    large = rows.filter(F.col("m") > dense).join(_distinct_lists(_counted(entries).filter(F.col("m") > dense)).select("t"), "t", "left_semi")
-    return small.unionByName(large.select(*small.columns))
+    runs = runs.withColumn("t", F.xxhash64("t", "run")).drop("m", "apart", "run")
+    large = rows.filter(F.col("m") > dense).drop("m")
+    lists = scratch.keep(runs.unionByName(large))
+    return scratch.keep(lists.select("t", "mk").join(_distinct_lists(_counted(lists)), "t"))
 
 
-def _counted(entries: DataFrame) -> DataFrame:
-    by_token = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("mk")).alias("of"), F.min("mk").alias("head"), F.max("mk").alias("tail"), F.min("lk").alias("all_linked"))
+def _counted(lists: DataFrame) -> DataFrame:
+    open_ = F.min("lk") if "lk" in lists.columns else F.lit(False)
+    by_token = lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("mk")).alias("of"), F.min("mk").alias("head"), F.max("mk").alias("tail"), open_.alias("all_linked"))
     return by_token.filter("m > 1 AND head < tail AND NOT all_linked")
 
 
