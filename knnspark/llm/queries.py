@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knnspark.llm import chat_format, graph_search, jaccard, packing, quality, suffix_dedup, url_filter, vector_dedup
+from knnspark.llm import chat_format, graph_search, jaccard, packing, piece_codec, quality, suffix_dedup, url_filter, vector_dedup
 from knnspark.llm.common import table
 
 END_OF_TEXT = 2
@@ -48,6 +48,12 @@ def op7_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = piece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.length("decoded").cast("long").alias("decoded_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 RULES = (
     url_filter.Rule("org", "/", "allow"),
     url_filter.Rule("example.org", "/es/", "block"),
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_graph_search": op7_graph_search,
+    "op8_piece_codec": op8_piece_codec,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
