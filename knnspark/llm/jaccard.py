@@ -1,9 +1,9 @@
 """Set-similarity self-join on word shingles, by multiple-global-order filtering.
 
 Two documents link when percent * |union| <= 100 * |intersection|. Under any total order of all shingles, sets that
-similar share one of their first few (prefix) shingles. Two orders are used, both rarest first by a count sketch of
-the whole corpus, with ties by different hashes: candidates share a prefix shingle under both, and only these are
-compared exactly.
+similar share one of their first few (prefix) shingles, and l of a prefix that is l - 1 longer. Two orders are used, both
+rarest first by a count sketch of the whole corpus, with ties by different hashes: candidates share a prefix shingle under
+the first and enough of the longer prefix under the second, and only these are compared exactly.
 
 Exact copies are one member. A list of more than `dense` members that share a shingle is never compared pair by pair:
 each is compared with the list's first member (pivot), then lives on as its difference from it. If x and y link, and
@@ -73,7 +73,15 @@ class Orders:
         return s[np.argsort(key, kind="stable")[:length]]
 
     def whole(self, s: np.ndarray, order: int) -> np.ndarray:
-        return self.prefix(s, len(s) - -(-self.percent * len(s) // 100) + 1, order)
+        return self.prefix(s, self.need(len(s)), order)
+
+    def wide(self, s: np.ndarray) -> np.ndarray:
+        """Twice the prefix (less one) of the second order, as sorted 32-bit halves. If c elements are shared at least, the
+        first |x| - c + l of two sets share l; here l is the plain prefix's length."""
+        return np.sort(self.prefix(s, 2 * self.need(len(s)) - 1, 1).astype(np.uint32))
+
+    def need(self, n: int) -> int:
+        return n - -(-self.percent * n // 100) + 1
 
     def part(self, diff: np.ndarray, n: int, order: int) -> np.ndarray:
         return self.prefix(diff, len(diff) - max(1, len(diff) - self._bound(n)) + 1, order)
@@ -164,10 +172,14 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, sets in _sets_of(b, k):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["mk", "n", "d"])
-
-    sets = docs.join(needed, docs.doc_id == needed.mk, "left_semi").mapInArrow(whole_sets, f"mk {kind}, n int, d binary")
-    sets = scratch.keep(sets.select("mk", F.col("mk").alias("id"), "n", F.lit(False).alias("lk"), "d"))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([orders.wide(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], names=["mk", "n", "d", "wide"])
+
+    sets = scratch.keep(docs.join(needed, docs.doc_id == needed.mk, "left_semi").mapInArrow(whole_sets, f"mk {kind}, n int, d binary, wide binary"))
+    sparse = lists.filter(F.col("m") <= dense).select("t", "mk").join(sets.select("mk", "n", "wide"), "mk").select("t", "mk", "n", "wide")
+    passed = scratch.keep(sparse.repartition("t").sortWithinPartitions("t", "mk").mapInArrow(_filter(orders), f"t long, mk {kind}"))
+    passed = passed.join(_distinct_lists(_counted(passed)), "t")
+    lists = scratch.keep(passed.unionByName(lists.filter(F.col("m") > dense).select(*passed.columns)))
+    sets = sets.select("mk", F.col("mk").alias("id"), "n", F.lit(False).alias("lk"), "d")
     found, level = [], 0
     while True:
         rows = lists.drop("n").join(sets, "mk")
@@ -230,6 +242,34 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+def _filter(orders: Orders) -> Callable:
+    """Members that share enough of the second order's prefixes with another of their list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t_out, mk_out, kind = [], [], None
+        for group in _groups(_noted(batches, schemas := [])):
+            kind = schemas[0].field("mk").type
+            sets = [np.frombuffer(r[3], np.uint32) for r in group]
+            own = [set(s.tolist()) for s in sets]
+            need, lost = [orders.need(r[2]) for r in group], [len(s) - len(o) for s, o in zip(sets, own, strict=True)]  # halves may collide
+            keep = [False] * len(group)
+            for i in range(len(group)):
+                for j in range(i):
+                    if not (keep[i] and keep[j]) and len(own[i] & own[j]) >= min(need[i], need[j]) - lost[i] - lost[j]:
+                        keep[i] = keep[j] = True
+            for r, k in zip(group, keep, strict=True):
+                if k:
+                    t_out.append(r[0])
+                    mk_out.append(r[1])
+            if len(t_out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(t_out, pa.int64()), pa.array(mk_out, kind)], names=["t", "mk"])
+                t_out, mk_out = [], []
+        if t_out:
+            yield pa.RecordBatch.from_arrays([pa.array(t_out, pa.int64()), pa.array(mk_out, kind)], names=["t", "mk"])
+
+    return run
+
+
 def _compare(orders: Orders, level: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out = [], []
