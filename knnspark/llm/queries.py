@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knnspark.llm import chat_format, graph_search, jaccard, packing, piece_codec, quality, suffix_dedup, url_filter, vector_dedup
+from knnspark.llm import chat_format, graph_search, jaccard, katz, packing, piece_codec, quality, suffix_dedup, url_filter, vector_dedup
 from knnspark.llm.common import table
 
 END_OF_TEXT = 2
@@ -40,6 +40,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_OF_TEXT)
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_katz": op5_katz,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_graph_search": op7_graph_search,
     "op8_piece_codec": op8_piece_codec,
