@@ -208,7 +208,7 @@ SELECT extra_n, fast_count, count(*) FILTER (c > 2 AND ql = 0) fp, count(*) FILT
     "check_first20": f"WITH {VEC} SELECT qid, fraud_count FROM bv ORDER BY qid LIMIT 20",
     "sample_stride": f"WITH {VEC} SELECT rid, label FROM vec WHERE rid % 20 = 0",
     "sample_hash": "SELECT event_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 100",
-    "win_lag_last_tx": f"WITH {TX} SELECT event_id, last_ts, last_k FROM ew",
+    "win_lag_last_tx": f"WITH {TX} SELECT event_id, coalesce({MINUTE.format(x='last_ts')}, -1) last_minute, coalesce(last_k, -1) last_k FROM ew",
     "win_tx_count_24h": f"WITH {TX} SELECT event_id, tx24 FROM ew",
     "win_running_avg": f"WITH {TX} SELECT event_id, prev_n, prev_cents, round(avg_amount, 6) avg_amount FROM tx",
     "win_seen_merchant": f"WITH {TX} SELECT event_id, seen FROM ew",

@@ -308,7 +308,7 @@ simple("partition_lb_rank", lambda s, d: aabb_lower_bound(s, d).select("qid", "p
 of_exact("check_first20", lambda top: knn.vote(top).orderBy("qid").limit(20).select("qid", "fraud_count"))
 of_vectors("sample_stride", lambda v: v.filter(c("rid") % X.EVERY == 0).select("rid", "label"))
 simple("sample_hash", lambda s, d: X.read(s, d, "events").select("event_id", F.md5(c("event_id").cast("string")).alias("h")).orderBy("h", "event_id").limit(100).select("event_id"))
-of_tx("win_lag_last_tx", "last_ts", "last_k")
+of_tx("win_lag_last_tx", lambda: F.coalesce(features.minute(c("last_ts")), F.lit(-1)).alias("last_minute"), lambda: F.coalesce("last_k", F.lit(-1)).alias("last_k"))
 of_tx("win_tx_count_24h", "tx24")
 of_tx("win_running_avg", "prev_n", "prev_cents", lambda: F.round("avg_amount", 6).alias("avg_amount"))
 of_tx("win_seen_merchant", "seen")
