@@ -208,7 +208,7 @@ def fit(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "x"])
 
     got = keyed.join(F.broadcast(ids), "h", "left_semi").mapInArrow(feature, "h long, x binary").dropDuplicates(["h"]).orderBy("h").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, -1)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, GRAMS + STATS * BINS)
     y = np.array([chosen[h] for h in got.column("h").to_pylist()])
     scratch.close()
     return Model(posterior, rates, train(x, y))
