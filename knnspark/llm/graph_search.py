@@ -134,7 +134,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4
         return pd.DataFrame([(pdf["shard"].iloc[0], entry, pdf["vec_id"].to_numpy(np.int64).tobytes(), raw.tobytes(), graph.astype(np.int32).tobytes())], columns=["shard", "entry", "ids", "raw", "graph"])
 
     sharded = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    indexes = Scratch(spark).keep(sharded.groupBy("shard").applyInPandas(index, "shard int, entry int, ids binary, raw binary, graph binary"))
+    indexes = Scratch(spark).keep(sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(index, "shard int, entry int, ids binary, raw binary, graph binary"))
 
     def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
