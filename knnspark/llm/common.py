@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,10 +53,16 @@ class Scratch:
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         at = self.path()
         df.write.option("compression", codec).parquet(at)
+        self.release()
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch = at  # noqa: SLF001
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of finished jobs, which go once the driver's JVM collects their handles."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             delete(self.spark, df._scratch)  # noqa: SLF001

@@ -209,7 +209,7 @@ def _lists(entries: DataFrame, dense: int, percent: int, scratch: Scratch) -> Da
     neighbour in size go. Of lists with equal members, one stays.
     """
     shared = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rows = scratch.keep(entries.join(shared, "t"))
+    rows = scratch.keep(entries.join(scratch.keep(shared), "t"))
     by_size = Window.partitionBy("t").orderBy("n", "mk")
     apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
     runs = rows.filter(F.col("m") <= dense).withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size))
