@@ -315,7 +315,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, dense:
                 if len(x[0]):
                     yield b.column("rk").slice(i, j - i), x
 
-    shared = docs.select("text").withColumn("rk", F.lit(0).cast("long")).mapInArrow(keys, "key long").groupBy("key").count().filter("count > 1").select("key")
+    # what is joined lies in a table first, so that Spark can split a hot key's rows in the join
+    shared = scratch.keep(docs.select("text").withColumn("rk", F.lit(0).cast("long")).mapInArrow(keys, "key long").groupBy("key").count().filter("count > 1").select("key"))
     every = scratch.keep(docs.select("rk", "text").mapInArrow(rows, "key long, ch long, rk long, s long, n int, left int").join(shared, "key", "left_semi"))
     first = F.min(F.struct("rk", "s", "n", "left"))
     classes = scratch.keep(every.groupBy("key", "ch").agg(F.count(F.lit(1)).alias("c"), first.alias("r")))
@@ -339,7 +340,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, dense:
     members = scratch.keep(distinct.mapInArrow(cut, kinds).dropDuplicates(["gk", "rk", "s"]))
     parts = [copies]
     while True:
-        sizes = members.groupBy("gk").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least")).filter("size > 1 AND least = 1").select("gk", "size")
+        sizes = scratch.keep(members.groupBy("gk").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least")).filter("size > 1 AND least = 1").select("gk", "size"))
         sized = members.join(sizes, "gk")
         small = sized.filter(F.col("size") <= dense).select(*columns).repartition("gk").sortWithinPartitions("gk")
         parts.append(scratch.keep(small.mapInArrow(_compare(length), "rk long, a long, b long")))
@@ -347,7 +348,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, dense:
         if large.isEmpty():
             break
         halves = scratch.keep(large.mapInArrow(_split(length), f"{kinds}, rel binary"))
-        same = halves.groupBy("gk", "rel").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rk", "s")).alias("one"))
+        same = scratch.keep(halves.groupBy("gk", "rel").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rk", "s")).alias("one")))
         halves = halves.join(same, ["gk", "rel"])
         parts.append(scratch.keep(halves.filter("k > 1 AND c = 1").select("rk", F.col("s").alias("a"), (F.col("s") + F.length("seg")).alias("b"))))
         members = scratch.keep(halves.filter("rk = one.rk AND s = one.s").withColumn("c", F.greatest("c", "k")).select(*columns))
