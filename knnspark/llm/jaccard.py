@@ -177,8 +177,13 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     sets = scratch.keep(docs.join(needed, docs.doc_id == needed.mk, "left_semi").mapInArrow(whole_sets, f"mk {kind}, n int, d binary, wide binary"))
     sparse = lists.filter(F.col("m") <= dense).select("t", "mk").join(sets.select("mk", "n", "wide"), "mk").select("t", "mk", "n", "wide")
     passed = scratch.keep(sparse.repartition("t").sortWithinPartitions("t", "mk").mapInArrow(_filter(orders), f"t long, mk {kind}"))
-    passed = passed.join(_distinct_lists(_counted(passed)), "t")
-    lists = scratch.keep(passed.unionByName(lists.filter(F.col("m") > dense).select(*passed.columns)))
+    # lists that overlap become one, so that each whole set moves once; the pivot's differences serve any list
+    first = passed.groupBy("t").agg(F.min("mk").alias("b"))
+    star = passed.join(first, "t").select(F.col("mk").alias("a"), "b")
+    crowded = lists.filter(F.col("m") > dense).select(F.col("mk").alias("a"), F.col("head").alias("b"))
+    merged = scratch.keep(components(star.unionByName(crowded), scratch))
+    sizes = merged.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    lists = scratch.keep(merged.join(sizes, "component").select(F.col("component").cast("long").alias("t"), F.col("node").alias("mk"), "m", F.col("component").alias("head")))
     sets = sets.select("mk", F.col("mk").alias("id"), "n", F.lit(False).alias("lk"), "d")
     found, level = [], 0
     while True:
