@@ -4,8 +4,9 @@ Exact copies are one node. Random hyperplanes deal nodes to blocks of bounded si
 start the neighbour graph (the block's pivots are in all pieces of an overfull block, so that pieces stay connected). Rounds of
 neighbours-of-neighbours joins then refine it: at each node its neighbours meet, and pairs nearer than either's worst neighbour
 are proposed. An audit holds a bounded sample of nodes against all; lost links start another round. Edges from the threshold up
-are kept. Lists that are saturated (all neighbours beyond the threshold) are enlarged to the node's whole component, block by
-block, so that links are counted exactly there, without emitting pairs.
+are kept. Nodes whose lists are saturated (all neighbours beyond the threshold) may have further links that no list holds: they meet
+each other in blocks, and links between components join these. Links are then counted within components, block by block. Neither
+emits pairs.
 
 Cosines are compared in double precision. Edge cases: vectors that are null, zero or hold null or non-finite components link
 with nothing and are their own component; copies link with each other; rows that repeat an id are one vector with the links of each
@@ -142,6 +143,48 @@ def _count_links(nodes: DataFrame, heads: DataFrame, threshold: float, size: int
     return left.join(right, ["head", "other"]).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _meet(nodes: DataFrame, heads: DataFrame, threshold: float, n: int, size: int = 2000) -> DataFrame:
+    """All linked pairs of the n nodes, block by block, as rows a, b, n: either a node (a) and the rows of other vectors that one block
+    links with it (n), or two heads (a, b) of components that links join. No pair is emitted; blocks meet in a ring, each the same number.
+    """
+    pieces = max(1, -(-n // size))
+    members = nodes.join(heads.withColumnRenamed("node", "id"), "id", "left").select("id", "copies", "x", F.coalesce("component", "id").alias("head"), F.pmod(F.xxhash64(F.lit("piece"), "id"), F.lit(pieces)).cast("int").alias("piece"))
+
+    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["x"].to_numpy())
+        return pd.DataFrame([(pdf["piece"].iloc[0], x.shape[1], *(pdf[c].to_numpy(np.int64).tobytes() for c in ("id", "head", "copies")), x.tobytes())], columns=["piece", "dim", "ids", "heads", "copies", "xs"])
+
+    blocks = members.groupBy("piece").applyInPandas(bundle, "piece int, dim int, ids binary, heads binary, copies binary, xs binary")
+    step = F.explode(F.sequence(F.lit(0), F.lit(pieces // 2)))
+    left = blocks.withColumn("step", step).filter((F.col("step") * 2 < pieces) | (F.col("piece") * 2 < pieces)).withColumn("other", F.pmod(F.col("piece") + F.col("step"), F.lit(pieces)))
+    right = blocks.select(F.col("piece").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("ids", "heads", "copies", "xs")))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                r = b.slice(i, 1).to_pylist()[0]
+                ids, head, copies, o_ids, o_head, o_copies = (np.frombuffer(r[c], np.int64) for c in ("ids", "heads", "copies", "o_ids", "o_heads", "o_copies"))
+                x, y = (np.frombuffer(r[c], np.float64).reshape(-1, r["dim"]) for c in ("xs", "o_xs"))
+                same, mine, others, joins = r["step"] == 0, np.zeros(len(x)), np.zeros(len(y)), [np.zeros((0, 2), np.int64)]
+                for at in range(0, len(x), 500):
+                    u, v = np.nonzero(x[at : at + 500] @ y.T >= threshold)
+                    u += at
+                    if same:  # copies of a node itself are counted apart
+                        u, v = u[u != v], v[u != v]
+                    mine += np.bincount(u, o_copies[v], len(x))
+                    others += np.bincount(v, copies[u], len(y))
+                    lost = head[u] != o_head[v]
+                    joins.append(np.unique(np.stack([head[u][lost], o_head[v][lost]], 1), axis=0))
+                joins = np.unique(np.concatenate(joins), axis=0)
+                counts = [(ids, mine)] if same else [(ids, mine), (o_ids, others)]
+                a = np.concatenate([*(i[m > 0] for i, m in counts), joins[:, 0]])
+                many = np.concatenate([m[m > 0] for _, m in counts]).astype(np.int64)
+                b_ = pa.concat_arrays([pa.nulls(len(many), pa.int64()), pa.array(joins[:, 1])])
+                yield pa.RecordBatch.from_arrays([pa.array(a), b_, pa.concat_arrays([pa.array(many), pa.nulls(len(joins), pa.int64())])], names=["a", "b", "n"])
+
+    return left.join(right, "other").mapInArrow(meet, "a long, b long, n long")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 12, trees: int = 3, rounds: int = 2, most: int = 5, sample: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
@@ -174,9 +217,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 12, tr
             continue
         edges = graph.filter(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         heads = scratch.keep(components(edges, scratch))
-        if not _audit(nodes, heads, threshold, sample):
+        if r + 1 == most or not _audit(nodes, heads, threshold, sample):
             break
         graph = scratch.keep(_best(graph.unionByName(_blocks(nodes, trees + 1 + r, bits, k)), k))
+    full = graph.groupBy("u").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= k) & (F.col("least") >= threshold))
+    full = scratch.keep(nodes.join(full.select(F.col("u").alias("id")), "id"))
+    lost = _meet(full, heads, threshold, full.count()).filter("b is not null").select("a", "b")
+    heads = scratch.keep(components(edges.unionByName(lost), scratch))
     counts = _count_links(nodes, heads, threshold)
     of = members.join(heads.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
     of = of.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -123,6 +123,36 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def exact_links(x, threshold=0.95):
+    """Links of each row and the least row of its component, by all pairs."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= threshold
+    np.fill_diagonal(link, False)
+    head = np.arange(len(x))
+    while True:
+        least = np.array([min(head[i], head[np.flatnonzero(link[i])].min(initial=head[i])) for i in range(len(x))])
+        if (least == head).all():
+            return link.sum(1), head
+        head = least
+
+
+def deduped(spark, x):
+    rows = [(i, v.tolist(), 0, 5, "a") for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    return np.array([got[i].n_links for i in range(len(x))]), np.array([got[i].component_id for i in range(len(x))])
+
+
+def test_linked_clumps_of_more_than_k(spark):
+    rng = np.random.default_rng(3)
+    centres = np.zeros((2, 16))
+    centres[0, 0], centres[1, :2] = 1, (0.964, np.sqrt(1 - 0.964**2))
+    x = (np.repeat(centres, 20, 0) + 0.007 * rng.standard_normal((40, 16))).astype(np.float32).astype(float)
+    links, heads = exact_links(x)
+    assert (links > 25).all() and (heads == 0).all()
+    got = deduped(spark, x)
+    assert (got[1] == heads).all() and (got[0] == links).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 103), (103, 101), (100, 100), (101, 103)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
