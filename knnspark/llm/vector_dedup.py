@@ -3,10 +3,11 @@
 Exact copies are one node. Random hyperplanes deal nodes to blocks of bounded size, several times; a block's nearest pairs
 start the neighbour graph (the block's pivots are in all pieces of an overfull block, so that pieces stay connected). Rounds of
 neighbours-of-neighbours joins then refine it: at each node its neighbours meet, and pairs nearer than either's worst neighbour
-are proposed. An audit holds a bounded sample of nodes against all; lost links start another round. Edges from the threshold up
-are kept. Nodes whose lists are saturated (all neighbours beyond the threshold) may have further links that no list holds: they meet
-each other in blocks, and links between components join these. Links are then counted within components, block by block. Neither
-emits pairs.
+are proposed. Edges from the threshold up join components.
+
+Lists are short and the search may miss pairs, so the result doesn't rest on them: in the end all nodes meet all others, block by
+block, which counts each node's links and joins the components that links still connect. No pair is emitted, but the arithmetic
+is quadratic in the number of distinct vectors.
 
 Cosines are compared in double precision. Edge cases: vectors that are null, zero or hold null or non-finite components link
 with nothing and are their own component; copies link with each other; rows that repeat an id are one vector with the links of each
@@ -97,52 +98,6 @@ def _round(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("u").applyInPandas(lambda pdf: meet(pdf), PAIRS)
 
 
-def _audit(nodes: DataFrame, heads: DataFrame, threshold: float, sample: int) -> int:
-    """Links of `sample` nodes that join different components: lost ones."""
-    with_head = nodes.join(heads.withColumnRenamed("node", "id"), "id", "left").select("id", "x", F.coalesce("component", "id").alias("head"))
-    some = with_head.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    if some.empty:
-        return 0
-    q, q_head = np.stack(some["x"].to_numpy()), some["head"].to_numpy()
-
-    def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column("x"))
-            if len(x):
-                s = x @ q.T >= threshold
-                bad = (s & (b.column("head").to_numpy()[:, None] != q_head[None, :])).sum()
-                yield pa.RecordBatch.from_arrays([pa.array([int(bad)])], names=["lost"])
-
-    return with_head.mapInArrow(lost, "lost long").agg(F.coalesce(F.sum("lost"), F.lit(0))).first()[0]
-
-
-def _count_links(nodes: DataFrame, heads: DataFrame, threshold: float, size: int = 1000) -> DataFrame:
-    """id, n: rows of other vectors linked with each node of a component, counted between blocks of members."""
-    members = nodes.join(heads.withColumnRenamed("node", "id"), "id").withColumnRenamed("component", "head")
-    sizes = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("pieces"))
-    dealt = members.join(sizes, "head").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-
-    def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"].to_numpy())
-        return pd.DataFrame([(pdf["head"].iloc[0], pdf["piece"].iloc[0], pdf["pieces"].iloc[0], x.shape[1], pdf["id"].to_numpy(np.int64).tobytes(), pdf["copies"].to_numpy(np.int64).tobytes(), x.tobytes())], columns=["head", "piece", "pieces", "dim", "ids", "copies", "xs"])
-
-    blocks = dealt.select("head", "piece", "pieces", "id", "copies", "x").groupBy("head", "piece").applyInPandas(bundle, "head long, piece int, pieces int, dim int, ids binary, copies binary, xs binary")
-    left = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    right = blocks.select("head", F.col("piece").alias("other"), F.col("copies").alias("o_copies"), F.col("xs").alias("o_xs"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids, copies, o_copies = (np.frombuffer(r[c], np.int64) for c in ("ids", "copies", "o_copies"))
-                x, y = (np.frombuffer(r[c], np.float64).reshape(-1, r["dim"]) for c in ("xs", "o_xs"))
-                linked = x @ y.T >= threshold
-                if r["piece"] == r["other"]:
-                    np.fill_diagonal(linked, False)  # copies of a node itself are counted apart
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ o_copies)], names=["id", "n"])
-
-    return left.join(right, ["head", "other"]).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def _meet(nodes: DataFrame, heads: DataFrame, threshold: float, n: int, size: int = 2000) -> DataFrame:
     """All linked pairs of the n nodes, block by block, as rows a, b, n: either a node (a) and the rows of other vectors that one block
     links with it (n), or two heads (a, b) of components that links join. No pair is emitted; blocks meet in a ring, each the same number.
@@ -185,7 +140,7 @@ def _meet(nodes: DataFrame, heads: DataFrame, threshold: float, n: int, size: in
     return left.join(right, "other").mapInArrow(meet, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 12, trees: int = 3, rounds: int = 2, most: int = 5, sample: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 12, trees: int = 3, rounds: int = 2, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -210,21 +165,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 12, tr
     for seed in range(2, trees + 1):
         pairs = pairs.unionByName(_blocks(nodes, seed, bits, k))
     graph = scratch.keep(_best(pairs, k))
-    for r in range(most):
-        then = scratch.keep(_best(graph.unionByName(_round(nodes, graph, k)), k))
-        graph = then
-        if r + 1 < rounds:
-            continue
-        edges = graph.filter(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        heads = scratch.keep(components(edges, scratch))
-        if r + 1 == most or not _audit(nodes, heads, threshold, sample):
-            break
-        graph = scratch.keep(_best(graph.unionByName(_blocks(nodes, trees + 1 + r, bits, k)), k))
-    full = graph.groupBy("u").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= k) & (F.col("least") >= threshold))
-    full = scratch.keep(nodes.join(full.select(F.col("u").alias("id")), "id"))
-    lost = _meet(full, heads, threshold, full.count()).filter("b is not null").select("a", "b")
-    heads = scratch.keep(components(edges.unionByName(lost), scratch))
-    counts = _count_links(nodes, heads, threshold)
+    for _ in range(rounds):
+        graph = scratch.keep(_best(graph.unionByName(_round(nodes, graph, k)), k))
+    edges = graph.filter(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    met = scratch.keep(_meet(nodes, scratch.keep(components(edges, scratch)), threshold, n))
+    heads = scratch.keep(components(edges.unionByName(met.filter("b is not null").select("a", "b")), scratch))
+    counts = met.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     of = members.join(heads.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
     of = of.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     of = of.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

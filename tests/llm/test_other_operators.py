@@ -136,9 +136,9 @@ def exact_links(x, threshold=0.95):
         head = least
 
 
-def deduped(spark, x):
+def deduped(spark, x, **settings):
     rows = [(i, v.tolist(), 0, 5, "a") for i, v in enumerate(x)]
-    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), **settings).collect()}
     return np.array([got[i].n_links for i in range(len(x))]), np.array([got[i].component_id for i in range(len(x))])
 
 
@@ -153,6 +153,26 @@ def test_linked_clumps_of_more_than_k(spark):
     assert (got[1] == heads).all() and (got[0] == links).all()
 
 
+def sparse_pairs(n=3000, pairs=20, dim=64, seed=0):
+    """Random directions; the first `pairs` have one other vector each at a cosine of about 0.955."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.standard_normal((pairs, dim))
+    off -= (off * x[:pairs]).sum(1)[:, None] * x[:pairs]
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    x[-pairs:] = 0.955 * x[:pairs] + np.sqrt(1 - 0.955**2) * off
+    return x.astype(np.float32).astype(float)
+
+
+def test_sparse_pairs_are_all_found(spark):
+    x = sparse_pairs()
+    links, heads = exact_links(x)
+    assert links.sum() == 40
+    got = deduped(spark, x, trees=1, rounds=1)  # a weak search: one partition, which separates several pairs
+    assert (got[0] == links).all() and (got[1] == heads).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 103), (103, 101), (100, 100), (101, 103)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
