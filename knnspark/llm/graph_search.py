@@ -8,6 +8,9 @@ are the exact inner products of the original vectors in double precision, and th
 Largest inner product becomes least distance by one more dimension, which gives all of a shard's vectors equal norms.
 Shards and query blocks are bounded in size; each (shard, block) pair is one row of work.
 
+Copies of a vector are one node of their shard's graph with a sorted list of ids, so that they take no edges or beam places from
+others; what a walk finds is expanded to the smallest ids.
+
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; with fewer candidates than k all
 are returned; ties go to the smaller id; rows that repeat an id are candidates each, but never for their own id's query;
 empty tables give empty results; other columns are ignored.
@@ -130,11 +133,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        raw, node = np.unique(raw + 0.0, axis=0, return_inverse=True)  # -0.0 becomes 0.0
+        node = node.ravel()
+        ids = pdf["vec_id"].to_numpy(np.int64)[np.argsort(node, kind="stable")]
         graph, entry = build_graph(equal_norms(raw), min(degree, max(1, len(raw) - 1)))
-        return pd.DataFrame([(pdf["shard"].iloc[0], entry, pdf["vec_id"].to_numpy(np.int64).tobytes(), raw.tobytes(), graph.astype(np.int32).tobytes())], columns=["shard", "entry", "ids", "raw", "graph"])
+        return pd.DataFrame([(pdf["shard"].iloc[0], entry, ids.tobytes(), np.bincount(node).tobytes(), raw.tobytes(), graph.astype(np.int32).tobytes())], columns=["shard", "entry", "ids", "copies", "raw", "graph"])
 
     sharded = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    indexes = Scratch(spark).keep(sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(index, "shard int, entry int, ids binary, raw binary, graph binary"))
+    indexes = Scratch(spark).keep(sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(index, "shard int, entry int, ids binary, copies binary, raw binary, graph binary"))
 
     def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
@@ -148,20 +154,26 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4
         for b in batches:
             for r in b.to_pylist():
                 ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                raw, q_raw = (np.frombuffer(r[c], np.float64).reshape(len(i), -1) for c, i in (("raw", ids), ("q_raw", q_ids)))
-                graph = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1)
+                copies = np.frombuffer(r["copies"], np.int64)
+                raw, q_raw = (np.frombuffer(r[c], np.float64).reshape(len(i), -1) for c, i in (("raw", copies), ("q_raw", q_ids)))
+                graph = np.frombuffer(r["graph"], np.int32).reshape(len(copies), -1)
+                start, most = np.cumsum(copies) - copies, k + int(np.unique(ids, return_counts=True)[1].max())  # a query's own id may repeat
                 q = np.concatenate([q_raw, np.zeros((len(q_raw), 1))], 1).astype(np.float32)
                 x = equal_norms(raw)
                 for at in range(0, len(q), 500):
                     nodes, _ = beam_search(x, graph, r["entry"], q[at : at + 500], max(beam, 2 * k))
                     score = np.einsum("ij,ikj->ik", q_raw[at : at + 500], raw[np.maximum(nodes, 0)])
-                    own = q_ids[at : at + 500, None]
-                    found = np.where(nodes < 0, -1, ids[np.maximum(nodes, 0)])
-                    score[(nodes < 0) | (found == own)] = -np.inf
-                    order = np.lexsort((found, -score), axis=1)[:, :k]
-                    score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
-                    keep = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own, score.shape)[keep]), pa.array(found[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+                    of, place = np.nonzero(nodes >= 0)
+                    node = nodes[of, place]
+                    many = np.minimum(copies[node], most)
+                    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    found, score, of = ids[np.repeat(start[node], many) + nth], np.repeat(score[of, place], many), np.repeat(of, many)
+                    other = found != q_ids[at + of]
+                    found, score, of = found[other], score[other], of[other]
+                    order = np.lexsort((found, -score, of))
+                    found, score, of = found[order], score[order], of[order]
+                    keep = np.arange(len(of)) - np.searchsorted(of, of) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + of][keep]), pa.array(found[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
     hits = work.mapInArrow(walk, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

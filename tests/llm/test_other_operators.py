@@ -100,6 +100,21 @@ def test_graph_search(spark):
     assert graph_search.search(df.filter("false")).count() == 0
 
 
+def test_graph_search_among_copies(spark):
+    x = np.round(8 * np.random.default_rng(2).standard_normal((1500, 16))) / 8  # sums are exact
+    x[::3] = x[0]
+    rows = [(i, v.tolist(), 0, 5, "a") for i, v in enumerate(x)]
+    got = {}
+    for r in graph_search.search(spark.createDataFrame(rows, VECTORS), k=10, every=20, shard_rows=500).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = {True: [], False: []}
+    for q in range(0, 1500, 20):
+        want = [i for i in np.lexsort((np.arange(1500), -(x @ x[q]))) if i != q][:10]
+        assert len(got[q]) == 10
+        hits[q % 3 == 0].append(len(set(got[q]) & set(want)))
+    assert np.mean(hits[True]) >= 9 and np.mean(hits[False]) >= 9, (np.mean(hits[True]), np.mean(hits[False]))
+
+
 def test_vector_dedup(spark):
     rows, x = odd_vectors()
     u = x / np.linalg.norm(x, axis=1)[:, None]
