@@ -2,18 +2,21 @@
 
 Two documents link when percent * |union| <= 100 * |intersection|. Under any total order of all shingles, sets that
 similar share one of their first few (prefix) shingles, and l of a prefix that is l - 1 longer. Two orders are used, both
-rarest first by a count sketch of the whole corpus, with ties by different hashes: candidates share a prefix shingle under
-the first and enough of the longer prefix under the second, and only these are compared exactly.
-
-Exact copies are one member. A list of more than `dense` members that share a shingle is never compared pair by pair:
-each is compared with the list's first member (pivot), then lives on as its difference from it. If x and y link, and
-not both link with the pivot, their differences share an element of their own prefixes (see `_bound`), which makes the next,
-smaller lists; so a huge group of near copies takes linear steps, and no link that joins components is lost. Links
-between members that a pivot has already joined are not listed.
-
-Edge cases: null or wordless text has an empty set and links with nothing; fewer words than a shingle are one shingle;
-a null id is a document of its own; rows that share an id are one document with the links of each; extra columns are
-ignored; empty tables give empty results. Shingles are compared by 64-bit hashes, whole sets by 128 bits.
+rarest first by a count sketch, with ties by different hashes: candidates share a prefix shingle under the first and enough
+of a longer prefix under the second (16-bit hashes of it travel, not the sets). Candidates that hang together are one
+cluster, so that each whole set moves once, and a cluster of up to `direct` members is compared exactly, in memory.
+
+A larger cluster is never compared pair by pair. All its members are compared with one of them, the pivot, which then is
+done; the others go on as their differences from it, D. Pairs that both link with the pivot are joined already. If y does
+not, and x and y link, then |Dx & Dy| > (|Dx| + r (|p| - |x|)) / 2 with r = (1 - t) / (1 + t), and always
+|Dx & Dy| >= |Dx| - |x| (1 - t) / t: the differences have short prefixes of their own, under orders that count within clusters,
+and fall into smaller clusters in the same way. Each round costs what its members' differences take, and no link that
+joins components is lost. Links between members that are joined already are not listed.
+
+Exact copies are one member. Edge cases: null or wordless text has an empty set and links with nothing; fewer words than a
+shingle are one shingle; a null id is a document of its own; ids may be of any type; rows that share an id are one document with
+the links of each; extra columns are ignored; empty tables give empty results. Shingles are compared by 64-bit hashes, whole sets
+by 128 bits.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,52 +66,73 @@ def signature(s: np.ndarray) -> bytes:
 
 @dataclass
 class Orders:
-    """counts: of each sketch bucket; shingles of rare buckets come first."""
+    """counts: of each sketch bucket; tokens of rare buckets come first."""
 
     counts: np.ndarray
     percent: int
 
-    def prefix(self, s: np.ndarray, length: int, order: int) -> np.ndarray:
-        count = np.minimum(self.counts[(s >> U64(64 - BITS)).astype(np.int64)], (1 << 24) - 1).astype(U64)
-        key = (count << U64(40)) | (mix(s ^ _ORDERS[order]) >> U64(24))
-        return s[np.argsort(key, kind="stable")[:length]]
+    def first(self, tokens: np.ndarray, length: int, order: int) -> np.ndarray:
+        count = np.minimum(self.counts[(tokens >> U64(64 - BITS)).astype(np.int64)], (1 << 24) - 1).astype(U64)
+        key = (count << U64(40)) | (mix(tokens ^ _ORDERS[order]) >> U64(24))
+        return tokens[np.argsort(key, kind="stable")[:length]]
 
-    def whole(self, s: np.ndarray, order: int) -> np.ndarray:
-        return self.prefix(s, self.need(len(s)), order)
+    def prefix(self, tokens: np.ndarray, need: int, order: int) -> np.ndarray:
+        """Sets that share `need` tokens with this one share one of these."""
+        return self.first(tokens, len(tokens) - need + 1, order) if need <= len(tokens) else tokens[:0]
 
-    def wide(self, s: np.ndarray) -> np.ndarray:
-        """Twice the prefix (less one) of the second order, as sorted 32-bit halves. If c elements are shared at least, the
-        first |x| - c + l of two sets share l; here l is the plain prefix's length."""
-        return np.sort(self.prefix(s, 2 * self.need(len(s)) - 1, 1).astype(np.uint32))
+    def wide(self, tokens: np.ndarray, need: int) -> np.ndarray:
+        """The second order's prefix, lengthened by as many tokens again (`need` at most), as 16-bit halves."""
+        plain = len(tokens) - need + 1
+        return np.sort(self.first(tokens, plain - 1 + min(plain, need), 1).astype(np.uint16)) if plain > 0 else np.zeros(0, np.uint16)
 
-    def need(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1
+    def least(self, n: int) -> int:
+        """What a set of n shares with any that links with it."""
+        return -(-self.percent * n // 100)
 
-    def part(self, diff: np.ndarray, n: int, order: int) -> np.ndarray:
-        return self.prefix(diff, len(diff) - max(1, len(diff) - self._bound(n)) + 1, order)
+    def least_apart(self, n: int, differ: int) -> int:
+        """What its difference from a pivot shares with that of any that links with it."""
+        return max(1, differ - n * (100 - self.percent) // self.percent)
 
-    def _bound(self, n: int) -> int:
-        """How far a set that links with one of n elements can differ: n * (1 - t) / t.
+    def least_half(self, n: int, pivot: int, differ: int) -> int:
+        """The same, with any that links with it but not with the pivot."""
+        whole = 100 + self.percent
+        return (differ * whole + (100 - self.percent) * (pivot - n)) // (2 * whole) + 1
 
-        With D = x xor p for a pivot p: |Dx & Dy| = (|Dx| + |Dy| - |x xor y|) / 2 >= |Dx| - bound, as |Dy| >= |Dx| - |x xor y|.
-        It is 1 at least if x doesn't link with p: then |Dx| > (|x| + |p|) (1-t)/(1+t), which, with |y| <= |p| + |Dy|,
-        makes |Dx| + |Dy| exceed what x and y may differ by.
-        """
-        return n * (100 - self.percent) // self.percent
+    def shared(self, n: int, m: int, size: int, size2: int) -> int:
+        """How many tokens two sets (or differences) of these sizes share, at least, if the sets of n and m shingles link."""
+        whole = 100 + self.percent
+        return -(-((size + size2) * whole - (100 - self.percent) * (n + m)) // (2 * whole))
 
     def links(self, n: int, m: int, differ: int) -> bool:
         """|x| + |y| >= |x xor y| (1+t)/(1-t), in integers."""
         return (100 - self.percent) * (n + m) >= (100 + self.percent) * differ
 
 
+def _keyed(tokens: np.ndarray, cluster: int) -> np.ndarray:
+    """Tokens of a cluster's differences, told apart from those of others; cluster 0 is the whole corpus."""
+    return mix(tokens ^ U64(cluster & (2**64 - 1))) if cluster else tokens
+
+
 def _sets_of(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     buf, offsets = utf8(b.column("text"))
     for i, j in slices(offsets):
         yield i, j, shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
 
 
-def sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold the shingles of each bucket, over all documents. Tasks send packed parts of their counts."""
+def _texts(k: int) -> Callable:
+    def run(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for _, _, sets in _sets_of(b, k):
+            yield sets
+
+    return run
+
+
+def _differences(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    yield [_keyed(np.frombuffer(d, U64), ch) for d, ch in zip(b.column("d").to_pylist(), b.column("ch").to_pylist(), strict=True)]
+
+
+def sketch(rows: DataFrame, tokens: Callable) -> np.ndarray:
+    """How many sets hold the tokens of each bucket, over all rows. Tasks send packed parts of their counts."""
     parts, width = 1 << (BITS - PART), 1 << PART
 
     def packed(total: np.ndarray, part: int) -> pa.RecordBatch:
@@ -116,7 +141,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int32)
         for b in batches:
-            for _, _, sets in _sets_of(b, k):
+            for sets in tokens(b):
                 at, n = np.unique((np.concatenate(sets) >> U64(64 - BITS)).astype(np.int64), return_counts=True)
                 total[at] += n.astype(np.int32)
         for part in range(parts):
@@ -133,105 +158,125 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
             yield packed(total, part)
 
     schema = "part int, counts binary"
-    rows = docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
+    got = rows.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
     out = np.zeros(1 << BITS, np.int64)
-    for r in rows:
+    for r in got:
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
 @dataclass
 class Join:
-    members: DataFrame  # doc_id, n_shingles, rep (the class's smallest id; null if the set is empty)
-    links: DataFrame  # a, b: reps whose sets link
+    members: DataFrame  # doc_id, n_shingles, id (of the class of equal sets; null if the set is empty)
+    classes: DataFrame  # id, rep: each class's smallest doc_id
+    links: DataFrame  # a, b: classes whose sets link
+
 
+def _narrow(key: str, ids: pa.Array, rows: list[tuple[int, int, int, bool, np.ndarray, np.ndarray, int]], **more: pa.Array) -> pa.RecordBatch:
+    """rows: n, size, need, apart, prefix, wide, half of each id."""
+    at = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])]).astype(np.int32)
+    flat = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, U64)
+    prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
+    cols = {key: ids, **{name: pa.array([r[i] for r in rows], pa.int32()) for i, name in enumerate(("n", "size", "need"))}}
+    cols |= {"apart": pa.array([r[3] for r in rows], pa.bool_()), "prefix": prefix, "wide": pa.array([r[5].tobytes() for r in rows], pa.binary()), "half": pa.array([r[6] for r in rows], pa.int32()), **more}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Join:
+
+PAIRS = "a long, b long"
+NARROW = "n int, size int, need int, apart boolean, prefix array<long>, wide binary, half int"
+
+
+def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense: int = 1000, direct: int = 250, id_col: str = "doc_id", text_col: str = "text") -> Join:
+    """dense: members of a list that the second order filters in memory; direct: members of a cluster that are compared in memory."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    orders = Orders(sketch(docs, k), percent)
+    orders = Orders(sketch(docs, _texts(k)), percent)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, sets in _sets_of(b, k):
-                first = [orders.whole(s, 0) if len(s) else s for s in sets]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(first).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), prefix], names=["doc_id", "n", "sig", "prefix"])
+                rows = []
+                for s in sets:
+                    need = orders.least(len(s))
+                    first = orders.prefix(s, need, 0) if len(s) else s
+                    rows.append((len(s), len(s), need, True, first, orders.wide(s, need) if len(s) else np.zeros(0, np.uint16), len(first)))
+                yield _narrow("doc_id", b.column(0).slice(i, j - i), rows, sig=pa.array([signature(s) if len(s) else None for s in sets], pa.binary()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = scratch.keep(docs.mapInArrow(summarise, f"doc_id {kind}, n int, sig binary, prefix array<long>"))
-    full = each.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    members = each.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")).join(reps, "sig", "left").select("doc_id", "n_shingles", "rep")
-    entries = full.join(reps, (full.sig == reps.sig) & (full.doc_id == reps.rep)).select(F.explode("prefix").alias("t"), F.col("rep").alias("mk"), "n")
-    lists = _lists(entries, dense, percent, scratch)
-    needed = lists.select("mk").distinct()
+    each = scratch.keep(docs.mapInArrow(summarise, f"doc_id {kind}, {NARROW}, sig binary"))
+    parts = ["n", "size", "need", "apart", "prefix", "wide", "half"]
+    equal = each.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first(F.struct(*parts)).alias("of"))
+    classes = scratch.keep(equal.select(F.monotonically_increasing_id().alias("id"), "sig", "rep", "of.*"))  # numbers are fixed once written
+    keys = classes.select("id", "sig", "rep")
+    of = F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")
+    members = scratch.keep(each.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of).join(keys.select("id", "sig"), "sig", "left").select("doc_id", "n_shingles", "id"))
+    scratch.drop(each)
+    clusters = _clusters(classes.select("id", *parts, F.col("id").alias("label")), orders, dense, scratch)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, sets in _sets_of(b, k):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([orders.wide(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], names=["mk", "n", "d", "wide"])
-
-    sets = scratch.keep(docs.join(needed, docs.doc_id == needed.mk, "left_semi").mapInArrow(whole_sets, f"mk {kind}, n int, d binary, wide binary"))
-    sparse = lists.filter(F.col("m") <= dense).select("t", "mk").join(sets.select("mk", "n", "wide"), "mk").select("t", "mk", "n", "wide")
-    passed = scratch.keep(sparse.repartition("t").sortWithinPartitions("t", "mk").mapInArrow(_filter(orders), f"t long, mk {kind}"))
-    # lists that overlap become one, so that each whole set moves once; the pivot's differences serve any list
-    first = passed.groupBy("t").agg(F.min("mk").alias("b"))
-    star = passed.join(first, "t").select(F.col("mk").alias("a"), "b")
-    crowded = lists.filter(F.col("m") > dense).select(F.col("mk").alias("a"), F.col("head").alias("b"))
-    merged = scratch.keep(components(star.unionByName(crowded), scratch))
-    sizes = merged.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    lists = scratch.keep(merged.join(sizes, "component").select(F.col("component").cast("long").alias("t"), F.col("node").alias("mk"), "m", F.col("component").alias("head")))
-    sets = sets.select("mk", F.col("mk").alias("id"), "n", F.lit(False).alias("lk"), "d")
-    found, level = [], 0
+            for _, _, sets in _sets_of(b, k):
+                sets = [s for s in sets if len(s)]
+                cols = [pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([orders.least(len(s)) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["sig", "n", "need", "d"])
+
+    wanted = scratch.keep(keys.join(clusters, "id"))
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(whole_sets, "sig binary, n int, need int, d binary")
+    first = wanted.join(texts, "sig").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("id", "c", "m", "known", "n", "need", "d")]).drop("sig")
+    rows = first.select("*", F.col("id").alias("label"), F.lit(0).cast("long").alias("ch"))
+    found = []
     while True:
-        rows = lists.drop("n").join(sets, "mk")
-        small = rows.filter(F.col("m") <= dense).select("t", "id", "n", "lk", "d").repartition("t").sortWithinPartitions("t", "id")
-        found.append(scratch.keep(small.mapInArrow(_compare(orders, level), f"a {kind}, b {kind}")))
-        dense_lists = lists.filter(F.col("m") > dense)
-        if dense_lists.isEmpty():
+        rows = scratch.keep(rows)
+        small = rows.filter(F.col("m") <= direct).select("c", "id", "label", "n", "need", "ch", "d").repartition("c").sortWithinPartitions("c", "id")
+        found.append(scratch.keep(small.mapInArrow(_compare(orders), PAIRS)))
+        large = rows.filter(F.col("m") > direct)
+        if large.isEmpty():
+            scratch.drop(rows)
             break
-        pivots = dense_lists.filter(F.col("mk") == F.col("head")).select("t", "mk").distinct().join(sets.select("mk", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd")), "mk").drop("mk")
-        against = rows.filter(F.col("m") > dense).select("t", "id", "n", "d").join(pivots, "t")
-        step = scratch.keep(against.mapInArrow(_differ(orders), f"t long, mk long, id {kind}, n int, lk boolean, p {kind}, d binary, prefix array<long>"))
-        found.append(step.filter("lk AND id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")))
-        entries = step.select(F.explode("prefix").alias("token"), "t", "mk", "n", "lk").select(F.xxhash64("t", "token").alias("t"), "mk", "n", "lk")
-        lists = _lists(entries, dense, percent, scratch)
-        sets, level = step.select("mk", "id", "n", "lk", "d"), level + 1
+        centre = large.groupBy("c").agg(F.min_by("id", F.struct(-F.col("known"), "id")).alias("p"))
+        pivots = scratch.keep(large.join(centre.withColumnRenamed("c", "of"), F.col("id") == F.col("p")).select("c", "p", F.col("n").alias("pn"), F.col("label").alias("p_label"), F.col("d").alias("pd")))
+        against = large.select("c", "id", "n", "label", "d").join(pivots, "c").filter("id <> p").withColumn("ch", F.xxhash64("c"))
+        step = scratch.keep(against.select("id", "n", "label", "p", "pn", "p_label", "ch", "d", "pd").mapInArrow(_differ(orders), "id long, n int, label long, p long, pn int, apart boolean, ch long, d binary"))
+        found.append(scratch.keep(step.filter("NOT apart").select(F.col("id").alias("a"), F.col("p").alias("b"))))
+        scratch.drop(rows, pivots)
+        orders = Orders(sketch(step, _differences), percent)
+        narrow = scratch.keep(step.mapInArrow(_parts(orders), f"id long, {NARROW}, label long, ch long, d binary"))
+        scratch.drop(step)
+        clusters = _clusters(narrow, orders, dense, scratch)
+        rows = clusters.join(narrow.select("id", "n", "label", "need", "ch", "d"), "id")
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    return Join(members, scratch.keep(links.distinct()))
-
-
-def _lists(entries: DataFrame, dense: int, percent: int, scratch: Scratch) -> DataFrame:
-    """t, mk, m, head: the members of each list that has something to compare, its size and first member.
-
-    entries: t, mk, n and, below the first level, lk (links with the pivot). Sets that link have sizes within the
-    threshold of each other, so a list of up to `dense` members falls into runs of such sizes, and members with no
-    neighbour in size go. Of lists with equal members, one stays.
-    """
-    shared = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rows = scratch.keep(entries.join(scratch.keep(shared), "t"))
-    by_size = Window.partitionBy("t").orderBy("n", "mk")
-    apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
-    runs = rows.filter(F.col("m") <= dense).withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size))
-    runs = runs.withColumn("t", F.xxhash64("t", "run")).drop("m", "apart", "run")
-    large = rows.filter(F.col("m") > dense).drop("m")
-    lists = scratch.keep(runs.unionByName(large))
-    return scratch.keep(lists.select("t", "mk").join(_distinct_lists(_counted(lists)), "t"))
-
-
-def _counted(lists: DataFrame) -> DataFrame:
-    open_ = F.min("lk") if "lk" in lists.columns else F.lit(False)
-    by_token = lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("mk")).alias("of"), F.min("mk").alias("head"), F.max("mk").alias("tail"), open_.alias("all_linked"))
-    return by_token.filter("m > 1 AND head < tail AND NOT all_linked")
-
-
-def _distinct_lists(counted: DataFrame) -> DataFrame:
-    return counted.groupBy("m", "of", "head", "tail").agg(F.min("t").alias("t")).select("t", "m", "head")
+    return Join(members, keys.select("id", "rep"), links.distinct())
+
+
+def _clusters(narrow: DataFrame, orders: Orders, dense: int, scratch: Scratch) -> DataFrame:
+    """id, c, m, known: members of each cluster, its size, and how much of a member's prefix others share (the pivot has most)."""
+    entries = narrow.select("id", "n", "apart", "label", "half", F.posexplode("prefix").alias("at", "t")).withColumn("half", F.col("at") < F.col("half")).drop("at")
+    ones = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    of = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m"), ones(F.col("apart")).alias("far"), ones(F.col("apart") & F.col("half")).alias("far_half"))
+    # a pair has a member that is apart from the pivot; two such meet in their shorter prefixes
+    shared = of.filter("m > 1 AND (far_half > 1 OR (far > 0 AND far < m))").select("t", "m")
+    rows = scratch.keep(entries.join(scratch.keep(shared), "t").select("t", "id", "n", "label", "m"))
+    by_size = Window.partitionBy("t").orderBy("n", "id")
+    gap = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * orders.percent, F.lit(True))
+    runs = rows.filter(F.col("m") <= dense).withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(by_size))
+    runs = runs.select(F.xxhash64("t", "run").alias("t"), "id", "label")
+    lists = scratch.keep(runs.unionByName(rows.filter(F.col("m") > dense).select("t", "id", "label")))
+    sums = lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("id").alias("head"), F.max("id").alias("tail"), F.min("label").alias("l1"), F.max("label").alias("l2"))
+    kept = scratch.keep(sums.filter("m > 1 AND l1 < l2").groupBy("m", "of", "head", "tail").agg(F.min("t").alias("t")).select("t", "m", "head"))
+    listed = scratch.keep(lists.select("t", "id").join(kept, "t"))
+    small = listed.filter(F.col("m") <= dense).select("t", "id").join(narrow.select("id", "label", "n", "size", "wide"), "id").select("t", "id", "label", "n", "size", "wide")
+    near = small.repartition("t").sortWithinPartitions("t", "id").mapInArrow(_filter(orders), PAIRS)
+    crowded = listed.filter(F.col("m") > dense).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    merged = scratch.keep(components(scratch.keep(near.unionByName(crowded)), scratch))
+    sizes = merged.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    known = rows.groupBy("id").agg(F.count(F.lit(1)).alias("known"))
+    of = narrow.select("id", F.size("prefix").alias("prefix")).join(known, "id").select("id", (F.col("known") / F.col("prefix")).alias("known"))
+    out = scratch.keep(merged.join(scratch.keep(sizes), "component").select(F.col("node").alias("id"), F.col("component").alias("c"), "m").join(of, "id"))
+    scratch.drop(rows, lists, listed, merged)
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -247,69 +292,100 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _filter(orders: Orders) -> Callable:
-    """Members that share enough of the second order's prefixes with another of their list."""
+def _pairs_out(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t_out, mk_out, kind = [], [], None
-        for group in _groups(_noted(batches, schemas := [])):
-            kind = schemas[0].field("mk").type
-            sets = [np.frombuffer(r[3], np.uint32) for r in group]
-            own = [set(s.tolist()) for s in sets]
-            need, lost = [orders.need(r[2]) for r in group], [len(s) - len(o) for s, o in zip(sets, own, strict=True)]  # halves may collide
-            keep = [False] * len(group)
-            for i in range(len(group)):
-                for j in range(i):
-                    if not (keep[i] and keep[j]) and len(own[i] & own[j]) >= min(need[i], need[j]) - lost[i] - lost[j]:
-                        keep[i] = keep[j] = True
-            for r, k in zip(group, keep, strict=True):
-                if k:
-                    t_out.append(r[0])
-                    mk_out.append(r[1])
-            if len(t_out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(t_out, pa.int64()), pa.array(mk_out, kind)], names=["t", "mk"])
-                t_out, mk_out = [], []
-        if t_out:
-            yield pa.RecordBatch.from_arrays([pa.array(t_out, pa.int64()), pa.array(mk_out, kind)], names=["t", "mk"])
 
-    return run
+def _joined(find: Callable) -> Callable:
+    """Runs find(group), which yields pairs of a list's or cluster's rows that are to be joined; ids come second in a row."""
 
-
-def _compare(orders: Orders, level: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_out, b_out = [], []
-        schema = None
-        for group in _groups(_noted(batches, schemas := [])):
-            schema = schemas[0].field("id").type
-            sets = [np.frombuffer(r[4], U64) for r in group]
-            prefixes = [[set((orders.part(s, r[2], o) if level else orders.whole(s, o)).tolist()) for s, r in zip(sets, group, strict=True)] for o in (0, 1)]
-            root = list(range(len(group)))
-            for i in range(len(group)):
-                for j in range(i):
-                    if (group[i][3] and group[j][3]) or group[i][1] == group[j][1] or _root(root, i) == _root(root, j):
-                        continue
-                    if any(p[i].isdisjoint(p[j]) for p in prefixes):
-                        continue
-                    x, y = sets[i], sets[j]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if orders.links(group[i][2], group[j][2], len(x) + len(y) - 2 * both):
-                        root[_root(root, i)] = _root(root, j)
-                        a_out.append(group[i][1])
-                        b_out.append(group[j][1])
-            if len(a_out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, schema), pa.array(b_out, schema)], names=["a", "b"])
-                a_out, b_out = [], []
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, schema), pa.array(b_out, schema)], names=["a", "b"])
+        a, b = [], []
+        for group in _groups(batches):
+            for i, j in find(group):
+                a.append(group[i][1])
+                b.append(group[j][1])
+            if len(a) > 10_000:
+                yield _pairs_out(a, b)
+                a, b = [], []
+        yield _pairs_out(a, b)
 
     return run
 
 
-def _noted(batches: Iterator[pa.RecordBatch], schemas: list) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        schemas.append(b.schema)
-        del schemas[1:]
-        yield b
+def _filter(orders: Orders) -> Callable:
+    """Joins members of a list (t, id, label, n, size, wide) that share enough of the second order's prefixes."""
+
+    def small(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        halves = [set(np.frombuffer(r[5], np.uint16).tolist()) for r in group]
+        width = [len(r[5]) // 2 for r in group]
+        root = list(range(len(group)))
+        for i, (_, _, label, n, size, _) in enumerate(group):
+            for j in range(i):
+                _, _, label2, m, size2, _ = group[j]
+                if label == label2 or _root(root, i) == _root(root, j):
+                    continue
+                most = orders.shared(n, m, size, size2)
+                need = min(width[i] - size + most, width[j] - size2 + most, most)
+                lost = width[i] - len(halves[i]) + width[j] - len(halves[j])  # halves may collide
+                if most <= min(size, size2) and len(halves[i] & halves[j]) >= need - lost:
+                    root[_root(root, i)] = _root(root, j)
+                    yield i, j
+
+    def large(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        halves = [np.unique(np.frombuffer(r[5], np.uint16)) for r in group]
+        count = np.array([len(h) for h in halves])
+        flat = np.concatenate(halves)
+        values, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(often > 1)
+        column = np.full(len(values), -1)
+        column[common] = np.arange(len(common))
+        who, where = np.repeat(np.arange(len(group)), count), column[place]
+        has = np.zeros((len(group), len(common)), np.float32)
+        has[who[where >= 0], where[where >= 0]] = 1
+        n, size = (np.array([r[c] for r in group], np.int64) for c in (3, 4))
+        width = np.array([len(r[5]) // 2 for r in group])
+        label = np.array([r[2] for r in group])
+        lost, root, whole = width - count, list(range(len(group))), 100 + orders.percent
+        for at in range(0, len(group), 256):
+            i = np.arange(at, min(at + 256, len(group)))[:, None]
+            most = -((-((size[i] + size) * whole - (100 - orders.percent) * (n[i] + n))) // (2 * whole))
+            need = np.minimum(np.minimum(width[i] - size[i], width - size) + most, most) - lost[i] - lost
+            ok = (has[at : at + 256] @ has.T >= need) & (most <= np.minimum(size[i], size)) & (label[i] != label) & (np.arange(len(group)) < i)
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                if _root(root, x + at) != _root(root, y):
+                    root[_root(root, x + at)] = _root(root, y)
+                    yield int(x + at), int(y)
+
+    return _joined(lambda group: small(group) if len(group) <= 40 else large(group))
+
+
+def _compare(orders: Orders) -> Callable:
+    """Links in a cluster (c, id, label, n, need, ch, d): pairs that share a prefix token under both orders are compared exactly."""
+
+    def find(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = [np.frombuffer(r[6], U64) for r in group]
+        prefixes = [[orders.prefix(_keyed(s, r[5]), r[4], o).tolist() for s, r in zip(sets, group, strict=True)] for o in (0, 1)]
+        second = [set(p) for p in prefixes[1]]
+        holders: dict[int, list[int]] = {}
+        root: list[int] = list(range(len(group)))
+        heads: dict = {}
+        for i, r in enumerate(group):  # what is joined already has one root
+            root[i] = heads.setdefault(r[2], i)
+        for i, (_, _, _, n, _, _, _) in enumerate(group):
+            x = sets[i]
+            for j in sorted({j for t in prefixes[0][i] for j in holders.get(t, ())}):
+                m, y = group[j][3], sets[j]
+                if _root(root, i) == _root(root, j) or second[i].isdisjoint(second[j]) or orders.shared(n, m, len(x), len(y)) > min(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if orders.links(n, m, len(x) + len(y) - 2 * both):
+                    root[_root(root, i)] = _root(root, j)
+                    yield i, j
+            for t in prefixes[0][i]:
+                holders.setdefault(t, []).append(i)
+
+    return _joined(find)
 
 
 def _root(root: list[int], i: int) -> int:
@@ -319,29 +395,49 @@ def _root(root: list[int], i: int) -> int:
 
 
 def _differ(orders: Orders) -> Callable:
+    """Differences from the pivot; who links with it takes its label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)
-                linked, diffs, firsts = [], [], []
+                apart, diffs = [], []
                 for n, d, pn, pd in zip(*(b.column(c).to_pylist() for c in ("n", "d", "pn", "pd")), strict=True):
                     diff = np.setxor1d(np.frombuffer(d, U64), np.frombuffer(pd, U64), assume_unique=True)
-                    linked.append(orders.links(n, pn, len(diff)))
+                    apart.append(not orders.links(n, pn, len(diff)))
                     diffs.append(diff.tobytes())
-                    firsts.append(orders.part(diff, n, 0) if len(diff) else diff)
-                t, ids = b.column("t"), b.column("id")
-                mk = mix(t.to_numpy().view(U64) + mix(ids.to_numpy().astype(np.int64).view(U64))).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([t, pa.array(mk), ids, b.column("n"), pa.array(linked), b.column("p"), pa.array(diffs, pa.binary()), prefix], names=["t", "mk", "id", "n", "lk", "p", "d", "prefix"])
+                far = pa.array(apart, pa.bool_())
+                label = pc.if_else(far, b.column("label"), b.column("p_label"))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), label, b.column("p"), b.column("pn"), far, b.column("ch"), pa.array(diffs, pa.binary())], names=["id", "n", "label", "p", "pn", "apart", "ch", "d"])
+
+    return run
+
+
+def _parts(orders: Orders) -> Callable:
+    """Prefixes of differences. Who links with the pivot needs the short one only, as it matters to those that don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for n, pn, apart, ch, d in zip(*(b.column(c).to_pylist() for c in ("n", "pn", "apart", "ch", "d")), strict=True):
+                tokens = _keyed(np.frombuffer(d, U64), ch)
+                need = orders.least_apart(n, len(tokens))
+                short = max(need, orders.least_half(n, pn, len(tokens)))
+                need = need if apart else short
+                first = orders.prefix(tokens, need, 0)
+                rows.append((n, len(tokens), need, apart, first, orders.wide(tokens, need), max(0, len(tokens) - short + 1)))
+            yield _narrow("id", b.column("id"), rows, **{c: b.column(c) for c in ("label", "ch", "d")})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90, dense: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90, dense: int = 1000, direct: int = 250, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, the document's own included)."""
     scratch = Scratch(docs.sparkSession)
-    found = join(docs, scratch, k, percent, dense, id_col, text_col)
-    heads = components(found.links, scratch).withColumnRenamed("node", "rep")
-    of = F.coalesce("component", "rep", "doc_id").alias("component_id")
-    return found.members.join(heads, "rep", "left").select("doc_id", "n_shingles", of)
+    found = join(docs, scratch, k, percent, dense, direct, id_col, text_col)
+    several = found.members.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("last")).filter("b < last").select("doc_id", "b")
+    same = found.members.join(scratch.keep(several), "doc_id").select(F.col("id").alias("a"), "b").filter("a IS NOT NULL")
+    heads = scratch.keep(components(found.links.unionByName(same), scratch))
+    least = heads.join(found.classes, heads.node == found.classes.id).groupBy("component").agg(F.min("rep").alias("least"))
+    of = found.classes.join(heads.join(least, "component").select(F.col("node").alias("id"), "least"), "id", "left").select("id", F.coalesce("least", "rep").alias("component_id"))
+    return found.members.join(of, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -75,14 +75,34 @@ def groups(rows, k, percent):
     return {i: find(i) for i in ids}, sets
 
 
-@pytest.mark.parametrize(("k", "percent", "dense"), [(3, 90, 4), (5, 80, 64)])
-def test_jaccard(docs, rows, k, percent, dense):
+@pytest.mark.parametrize(("k", "percent", "dense", "direct"), [(3, 90, 4, 3), (5, 80, 1000, 250)])
+def test_jaccard(docs, rows, k, percent, dense, direct):
     want, sets = groups(rows, k, percent)
-    got = jaccard.near_duplicates(docs, k, percent, dense).collect()
+    got = jaccard.near_duplicates(docs, k, percent, dense, direct).collect()
     assert len(got) == len(rows)
     assert all(r.component_id == want[r.doc_id] and r.n_shingles in {len(s) for s in sets[r.doc_id]} for r in got)
 
 
+def test_jaccard_large_group_of_near_copies_takes_several_rounds(spark, monkeypatch):
+    """Copies of copies, so that one pivot doesn't link with all; ids are strings and some repeat with another text."""
+    random = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [random.choice(vocabulary, 120)]
+    for _ in range(150):
+        t = texts[random.integers(len(texts))].copy()
+        t[random.integers(0, 120, random.integers(1, 4))] = random.choice(vocabulary)
+        texts.append(t)
+    rows = [(f"d{i % 146:03}", " ".join(t)) for i, t in enumerate(texts)]
+    want, _ = groups(rows, 3, 90)
+    rounds = []
+    differ = jaccard._differ
+    monkeypatch.setattr(jaccard, "_differ", lambda orders: rounds.append(1) or differ(orders))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), dense=30, direct=14).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(rounds) >= 3 and 1 < len(set(want.values())) < 120
+
+
 def test_jaccard_empty_and_null_ids(spark, none):
     assert jaccard.near_duplicates(none).count() == 0
     got = jaccard.near_duplicates(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id long, text string")).collect()
