@@ -1,22 +1,31 @@
-"""Katz backoff scoring of whole texts with bigrams over words.
+"""Katz backoff scoring of whole texts over word n-grams.
 
-Training documents' unigrams and bigrams are counted; Good-Turing discounts (Katz's form, for counts up to 5) free
-mass, which each context hands to words that it was not seen with, in proportion to their unigram probability. Backoff weights
-are normalised exactly: a context's probabilities over the vocabulary and the unknown word sum to 1. Counts and weights lie in
-tables keyed by hashed words; a text's score is the sum over its tokens, the end included, of the bigram's discounted
-probability where it was seen, else weight times the unigram's, which in turn falls back to the unknown word's mass.
+Training documents' n-grams are counted up to `order`; Good-Turing discounts (Katz's form, for counts up to 5) free mass, which each
+context hands to words that it was not seen with, in proportion to the next lower order's probability. Backoff weights are
+normalised exactly: a context's probabilities over the vocabulary and the unknown word sum to 1. A text's score is the sum over its
+tokens, the end included, of the highest order's discounted probability where the n-gram was seen, else the context's weight times the
+lower order's, and so on down to the unknown word's mass.
+
+Nothing travels token by token. Documents become blocks (a few MB of text as numbers of a vocabulary of the block's own). For each
+order, a block's distinct n-grams go, packed, to tables partitioned by their context's hash; there they are counted, and each
+block gets a value for each n-gram back: its probability, or minus its context's weight where it was not seen. The next order starts
+from these. Contexts that make a thousandth of all tokens or more (a thousand of them at most) are split by the next word, and
+their sums added up apart, so that no context is too hot.
 
 Edge cases: null text is empty and has the end token only; a null id counts as the empty string for the split; every row is scored,
 repeated rows alike; extra columns are ignored; an empty table gives an empty result; with no training token every token is unknown.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes, and so are contexts of two words or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,38 +33,42 @@ from knnspark.llm.common import U64, Scratch, mix, prefix_sums, prepare, slices,
 
 #: Counts above this are trusted.
 TRUSTED = 5
-#: Hashes of the marks before a text's first token, and of its last.
-BEGIN, END = (int(x) for x in mix(np.array([0xB0, 0xE0], U64)).view(np.int64))
+#: Hash of the mark of a text's last token, and the context before its first.
+END, BEGIN = mix(np.array([0xE0, 0xB0], U64))
+_STEP = U64(0x9E3779B97F4A7C15)
+#: Bytes of text in a block, and tokens a table partition is made for.
+BLOCK_BYTES, PART_TOKENS = 8_000_000, 500_000
 
 
 def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def bigrams(rows: DataFrame) -> DataFrame:
-    """row, w1, w2, n: the distinct bigrams of each row's text. rows: row, text."""
+def pack(x: np.ndarray) -> bytes:
+    """Few distinct values become places in their list; bytes of equal weight lie together."""
+    values, place = np.unique(x, return_inverse=True)
+    listed = len(values) * 2 < len(x)
+    head = values.tobytes() if listed else b""
+    body = place if listed else x
+    if body.dtype.kind in "iu" and len(body):
+        body = body.astype(np.min_scalar_type(int(body.max())) if int(body.min()) >= 0 else body.dtype)
+    planes = body.view(np.uint8).reshape(len(body), -1).T.tobytes() if len(body) else b""
+    meta = np.array([len(head), len(body)], "<i8").tobytes() + x.dtype.str.encode().ljust(4) + body.dtype.str.encode().ljust(4)
+    return zstandard.compress(meta + head + planes, 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    data = zstandard.decompress(data)
+    head, n = np.frombuffer(data[:16], "<i8").tolist()
+    kind, stored = (np.dtype(data[a : a + 4].decode().strip()) for a in (16, 20))
+    planes = np.frombuffer(data, np.uint8, offset=24 + head)
+    body = np.ascontiguousarray(planes.reshape(-1, n).T).view(stored).ravel() if n else np.zeros(0, stored)
+    return np.frombuffer(data[24 : 24 + head], kind)[body] if head else body.astype(kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("row").to_numpy(zero_copy_only=False)
-            buf, offsets = utf8(b.column("text"))
-            for i, j in slices(offsets):
-                part, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                a, e, first = words(part, at)
-                h = span_hash(prefix_sums(part, lower=True), a, e).view(np.int64)
-                n = np.diff(first)
-                row = np.repeat(np.arange(j - i), n + 1)
-                w2 = np.insert(h, first[1:], END)
-                w1 = np.insert(h, first[:-1], BEGIN)
-                order = np.lexsort((w1, w2, row))
-                row, w1, w2 = row[order], w1[order], w2[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (w2[1:] != w2[:-1]) | (w1[1:] != w1[:-1])
-                heads = np.flatnonzero(new)
-                count = np.diff(np.append(heads, len(row))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row[heads]]), pa.array(w1[heads]), pa.array(w2[heads]), pa.array(count)], names=["row", "w1", "w2", "n"])
-
-    return rows.mapInArrow(run, "row long, w1 long, w2 long, n int")
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of a rising sequence; np.cumsum undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
@@ -69,58 +82,295 @@ def discounts(counts_of_counts: dict[int, int]) -> list[float]:
     return out
 
 
-def _discounted(r: Column, d: list[float]) -> Column:
-    return F.when(r > TRUSTED, r.cast("double")).otherwise(r * F.element_at(F.array(*[F.lit(x) for x in d]), (F.least(r, F.lit(TRUSTED)) + 1).cast("int")))
-
-
-def _count_of_counts(table: DataFrame, column: str) -> dict[int, int]:
-    return {r["r"]: r["n"] for r in table.filter(F.col(column) <= TRUSTED + 1).groupBy(F.col(column).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
-class Model:
-    """unigrams: w, c, p. grams: w1, w2, r. contexts: w1, denominator, backoff."""
-
-    def __init__(self, rows: DataFrame, scratch: Scratch):
-        pairs = bigrams(rows)
-        unigrams = scratch.keep(pairs.groupBy(F.col("w2").alias("w")).agg(F.sum("n").alias("c")))
-        self.tokens, self.types = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-        d1 = discounts(_count_of_counts(unigrams, "c"))
-        kept = unigrams.agg(F.coalesce(F.sum(_discounted(F.col("c"), d1)), F.lit(0.0))).first()[0]
-        whole = self.tokens if kept < self.tokens else self.tokens + 1
-        self.unknown = 1 - kept / whole  # the mass of all unknown words together
-        self.unigrams = unigrams.withColumn("p", _discounted(F.col("c"), d1) / whole)
-        self.grams = scratch.keep(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("r")))
-        self.d2 = discounts(_count_of_counts(self.grams, "r"))
-        seen = self.grams.join(self.unigrams.select(F.col("w").alias("w2"), "p"), "w2")
-        sums = seen.groupBy("w1").agg(F.sum("r").alias("c"), F.sum(_discounted(F.col("r"), self.d2)).alias("kept"), F.sum("p").alias("lower"))
-        below = sums.withColumn("denominator", F.when(F.col("kept") < F.col("c"), F.col("c")).otherwise(F.col("c") + 1))
-        rest = F.greatest(1 - F.col("lower"), F.lit(self.unknown))  # never less than the unknown word's mass
-        self.contexts = scratch.keep(below.select("w1", "denominator", ((1 - F.col("kept") / F.col("denominator")) / rest).alias("backoff")))
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        """row, n_tokens, n_known, base_score, score."""
-        n, c = F.col("n"), F.coalesce("c", F.lit(0))
-        lower = F.log10(F.coalesce("p", F.lit(self.unknown)))
-        backed = F.coalesce(F.log10("backoff"), F.lit(0.0)) + lower
-        own = F.log10(_discounted(F.col("r"), self.d2) / F.col("denominator"))
-        base = F.log10((c + 0.1) / F.lit(self.tokens + 0.1 * (self.types + 1)))
-        u = self.unigrams.withColumnRenamed("w", "w2")
-        told = bigrams(rows).join(self.grams, ["w1", "w2"], "left").join(self.contexts, "w1", "left").join(u, "w2", "left")
-        return told.groupBy("row").agg(
-            F.sum(n).alias("n_tokens"),
-            F.sum(F.when(c > 0, n).otherwise(0)).alias("n_known"),
-            F.sum(n * base).alias("base_score"),
-            F.sum(n * F.when(F.col("r").isNotNull(), own).otherwise(backed)).alias("score"),
-        )
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def discounted(r: np.ndarray, d: list[float]) -> np.ndarray:
+    return r * np.append(d, 1.0)[np.minimum(r, TRUSTED + 1)]
+
+
+def blocks(rows: DataFrame, kind: str) -> DataFrame:
+    """block, ids, held_out, ends, vocabulary, tokens; rows: doc_id, held_out, text. ends: tokens up to each document's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def whole() -> pa.RecordBatch:
+            vocabulary, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+            ends = np.cumsum(np.concatenate([h[3] for h in held]))
+            ids = pa.concat_arrays([h[0] for h in held])
+            out = pa.concat_arrays([h[1] for h in held]).to_numpy(zero_copy_only=False)
+            cols = [pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+            cols += [pa.array([x], pa.binary()) for x in (pack(out.astype(np.uint8)), pack(steps(ends)), vocabulary.tobytes(), pack(tokens.astype(np.int64)))]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "held_out", "ends", "vocabulary", "tokens"])
+
+        for b in batches:
+            buf, offsets = utf8(b.column("text"))
+            for i, j in slices(offsets):
+                part, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                a, e, first = words(part, at)
+                h = np.insert(span_hash(prefix_sums(part, lower=True), a, e), first[1:], END)
+                held.append((b.column("doc_id").slice(i, j - i), b.column("held_out").slice(i, j - i), h, np.diff(first) + 1))
+                size += len(part) + j - i
+                if size >= BLOCK_BYTES:
+                    yield whole()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield whole()
+
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, held_out binary, ends binary, vocabulary binary, tokens binary")
+
+
+class Block:
+    """One row of the blocks' table. low: the probability of each token under the order before."""
+
+    def __init__(self, row: dict):
+        self.ends = np.cumsum(unpack(row["ends"]))
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.held_out = unpack(row["held_out"]).astype(bool)
+        self.vocabulary = np.frombuffer(row["vocabulary"], U64)
+        self.local = unpack(row["tokens"])
+        self.train = np.repeat(~self.held_out, self.ends - self.starts)
+        for name in ("number", "count", "low"):
+            setattr(self, name, unpack(row[name]) if row.get(name) else None)
+
+    def contexts(self, order: int) -> np.ndarray:
+        """A key for the order - 1 tokens before each token; fewer at a text's start."""
+        out = np.zeros(len(self.local), U64)
+        for m in range(2, order + 1):
+            before = self.number[self.local[:-1]].astype(U64)
+            out[1:] = following(out[:-1], before) if m > 2 else before
+            out[self.starts] = BEGIN
+        return out
+
+    def grams(self, order: int, parts: int, hot: np.ndarray) -> tuple:
+        """Distinct (context, word) pairs by partition: their partitions, contexts, words, first tokens; and each token's pair."""
+        word = self.number[self.local].astype(U64) if order > 1 else self.vocabulary[self.local]
+        context = self.contexts(order)
+        if order > 1:
+            split = np.isin(context, hot)
+            part = (mix(np.where(split, context + mix(word), context) + _STEP) % U64(parts)).astype(np.int32)
+        else:
+            part = (word % U64(parts)).astype(np.int32)
+        by = np.lexsort((word, context, part))
+        new = np.ones(len(by), bool)
+        new[1:] = (word[by][1:] != word[by][:-1]) | (context[by][1:] != context[by][:-1])
+        of = np.empty(len(by), np.int64)
+        of[by] = np.cumsum(new) - 1
+        first = by[new]
+        return part[first], context[first], word[first], first, of
+
+    def dealt(self, order: int, parts: int, hot: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+        part, context, word, first, of = self.grams(order, parts, hot)
+        n = np.bincount(of, self.train, len(first)).astype(np.int64)
+        low = self.low[first] if order > 1 else np.ones(len(first))
+        edges = np.flatnonzero(np.append(np.append(True, part[1:] != part[:-1]), True)) if len(part) else []
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield int(part[a]), pack(steps(context[a:b])), pack(word[a:b]), pack(n[a:b]), pack(low[a:b])
+
+
+def following(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context + _STEP) + word)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(len(b)):
+            yield {n: c[i].as_py() for n, c in zip(b.schema.names, b.columns, strict=True) if n != "ids"} | ({"ids": b.column("ids").slice(i, 1)} if "ids" in b.schema.names else {})
+
+
+def _out(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    names = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(names)], names=[n for n, _ in names])
+
+
+DEALT = "part int, block long, contexts binary, words binary, n binary, low binary"
+TABLE = "part int, contexts binary, words binary, r binary, low binary, blocks array<long>, places array<binary>, kinds long, total long, often array<long>"
+
+
+def _deal(order: int, parts: int, hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        yield _out(DEALT, [(part, row["block"], *packed) for part, *packed in Block(row).dealt(order, parts, hot)])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each partition: its distinct n-grams by context, and where each block's are among them."""
+
+    def one(held: list[dict]) -> pa.RecordBatch:
+        context = np.concatenate([np.cumsum(unpack(h["contexts"]), dtype=U64) for h in held])
+        word, n, low = (np.concatenate([unpack(h[c]) for h in held]) for c in ("words", "n", "low"))
+        by = np.lexsort((word, context))
+        new = np.ones(len(by), bool)
+        new[1:] = (word[by][1:] != word[by][:-1]) | (context[by][1:] != context[by][:-1])
+        of = np.empty(len(by), np.int64)
+        of[by] = np.cumsum(new) - 1
+        first = by[new]
+        r = np.bincount(of, n, len(first)).astype(np.int64)
+        ends = np.cumsum([len(unpack(h["n"])) for h in held])[:-1]
+        places = [pack(steps(x)) for x in np.split(of, ends)]
+        often = np.bincount(np.minimum(r, TRUSTED + 2), minlength=TRUSTED + 3)[: TRUSTED + 2]
+        return _out(TABLE, [(held[0]["part"], pack(steps(context[first])), pack(word[first]), pack(r), pack(low[first]), [h["block"] for h in held], places, int((r > 0).sum()), int(r.sum()), often.tolist())])
+
+    held: list[dict] = []
+    for row in _rows(batches):
+        if held and held[0]["part"] != row["part"]:
+            yield one(held)
+            held = []
+        held.append(row)
+    if held:
+        yield one(held)
+
+
+class Table:
+    """One order's n-grams, partitioned by their context's hash."""
+
+    def __init__(self, blocks_: DataFrame, order: int, parts: int, hot: np.ndarray, scratch: Scratch):
+        self.order, self.parts, self.hot = order, parts, hot
+        dealt = blocks_.mapInArrow(partial(_deal, order, parts, hot), DEALT)
+        self.rows = scratch.keep(dealt.repartition("part").sortWithinPartitions("part", "block").mapInArrow(_count, TABLE))
+        sums = [F.sum(F.col("often")[i]).alias(f"n{i}") for i in range(TRUSTED + 2)]
+        got = self.rows.agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"), *sums).first()
+        self.kinds, self.total = got["kinds"] or 0, got["total"] or 0
+        self.discounts = discounts({i: got[f"n{i}"] or 0 for i in range(1, TRUSTED + 2)})
+
+    def kept(self) -> float:
+        """The whole discounted count."""
+
+        def run(d: list[float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                yield _out("kept double", [(float(discounted(unpack(row["r"]), d).sum()),)])
+
+        return self.rows.select("r").mapInArrow(partial(run, self.discounts), "kept double").agg(F.sum("kept")).first()[0] or 0.0
+
+    def common(self, least: float) -> np.ndarray:
+        """Contexts of the next order that were seen `least` times or more: total / least of them at most."""
+        order, parts = self.order, self.parts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                context, word, r = np.cumsum(unpack(row["contexts"]), dtype=U64), unpack(row["words"]), unpack(row["r"])
+                number = np.arange(len(r), dtype=np.int64) * parts + row["part"]
+                key = number.astype(U64) if order == 1 else following(context, word)
+                yield _out("key long", [(int(x),) for x in key[r >= max(1.0, least)].view(np.int64)])
+
+        got = self.rows.select("part", "contexts", "words", "r").mapInArrow(run, "key long").collect()
+        return np.append(np.array([r["key"] for r in got], np.int64).view(U64), BEGIN)
+
+    def numbers(self) -> DataFrame:
+        """block, part, number, count: each word's number, which no other word has, and its count. For order 1."""
+        parts = self.parts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                r, out = unpack(row["r"]), []
+                for block, packed in zip(row["blocks"], row["places"], strict=True):
+                    at = np.cumsum(unpack(packed))
+                    out.append((block, row["part"], pack(steps(at * parts + row["part"])), pack(r[at])))
+                yield _out("block long, part int, number binary, count binary", out)
+
+        return self.rows.select("part", "r", "blocks", "places").mapInArrow(run, "block long, part int, number binary, count binary")
+
+    def values(self) -> DataFrame:
+        """block, part, value: of each n-gram its probability, or minus its context's weight if it was not seen."""
+        hot, d = self.hot, self.discounts
+
+        def sums(row: dict) -> tuple:
+            context, r, low = np.cumsum(unpack(row["contexts"]), dtype=U64), unpack(row["r"]), unpack(row["low"])
+            start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            seen = r > 0
+            add = lambda x: np.add.reduceat(np.where(seen, x, 0.0), start)
+            return context, start, r, add(r), add(discounted(r, d)), add(low)
+
+        def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                context, start, _, c, kept, low = sums(row)
+                mine = np.isin(context[start], hot)
+                yield _out("context long, c double, kept double, low double", list(zip(context[start][mine].view(np.int64).tolist(), c[mine].tolist(), kept[mine].tolist(), low[mine].tolist(), strict=True)))
+
+        rows = self.rows.select("part", "contexts", "r", "low", "blocks", "places")
+        got = rows.drop("blocks", "places").mapInArrow(partial_sums, "context long, c double, kept double, low double")
+        whole = {int(np.int64(x["context"]).view(U64)): tuple(x)[1:] for x in got.groupBy("context").agg(F.sum("c"), F.sum("kept"), F.sum("low")).collect()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                context, start, r, c, kept, low = sums(row)
+                for i in np.flatnonzero(np.isin(context[start], hot)):
+                    c[i], kept[i], low[i] = whole[int(context[start[i]])]
+                below = np.where(kept < c, c, c + 1)
+                weight = np.where(c > 0, (1 - kept / below) / np.maximum(1 - low, 1e-15), 1.0)
+                of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
+                value = np.where(r > 0, discounted(r, d) / below[of], -weight[of])
+                yield _out("block long, part int, value binary", [(b, row["part"], pack(value[np.cumsum(unpack(p))])) for b, p in zip(row["blocks"], row["places"], strict=True)])
+
+        return rows.mapInArrow(run, "block long, part int, value binary")
+
+
+def _with(blocks_: DataFrame, back: DataFrame) -> DataFrame:
+    """Each block with what its n-grams got, by partition: as much as the block has n-grams."""
+    cols = [c for c in back.columns if c != "block"]
+    return blocks_.join(back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("back")), "block")
+
+
+def score_texts(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from rows not held out."""
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    model = Model(rows.filter("NOT held_out").select(F.lit(0).cast("long").alias("row"), "text"), scratch)
-    ids = scratch.keep(rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), "text"))
-    scores = model.score(ids.select("row", "text"))
-    return ids.select("row", "doc_id", "held_out").join(scores, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    now = scratch.keep(blocks(rows, kind), "none")
+    size = now.agg(F.sum(F.length("vocabulary"))).first()[0] or 0
+    parts = max(32, size // (8 * PART_TOKENS // 4))
+    words_ = Table(now, 1, parts, np.zeros(0, U64), scratch)
+    tokens, types, d1 = words_.total, words_.kinds, words_.discounts
+    kept = words_.kept()
+    whole = tokens if kept < tokens else tokens + 1
+    unknown = 1 - kept / whole  # the mass of all unknown words together
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = Block(row)
+            part, _, _, first, _ = block.grams(1, parts, np.zeros(0, U64))
+            at = block.local[first]  # places in the block's vocabulary, in the order in which they were dealt
+            number, count = np.zeros(len(block.vocabulary), np.int64), np.zeros(len(block.vocabulary), np.int64)
+            number[at] = np.concatenate([np.cumsum(unpack(x["number"])) for x in row["back"]])
+            count[at] = np.concatenate([unpack(x["count"]) for x in row["back"]])
+            low = np.where(count > 0, discounted(count, d1) / whole, unknown)[block.local]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), row["ids"], *[pa.array([x], pa.binary()) for x in (row["held_out"], row["ends"], row["vocabulary"] if order < 2 else b"", row["tokens"], pack(number), pack(count), pack(low))]], names=NUMBERED)
+
+    schema = f"block long, ids array<{kind}>, " + ", ".join(f"{n} binary" for n in NUMBERED[2:])
+    then = scratch.keep(_with(now, words_.numbers()).mapInArrow(numbered, schema), "none")
+    scratch.drop(now)
+    now, table = then, words_
+    for m in range(2, order + 1):
+        hot = table.common(tokens / 1000)
+        scratch.drop(table.rows)
+        grams = max(32, tokens // PART_TOKENS)
+        table = Table(now, m, grams, hot, scratch)
+
+        def lifted(batches: Iterator[pa.RecordBatch], m: int = m, grams: int = grams, hot: np.ndarray = hot) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                block = Block(row)
+                value = np.concatenate([unpack(x["value"]) for x in row["back"]])[block.grams(m, grams, hot)[4]]
+                row["low"] = pack(np.where(value > 0, value, -value * block.low))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), row["ids"], *[pa.array([row[n]], pa.binary()) for n in NUMBERED[2:]]], names=NUMBERED)
+
+        lifted_rows = _with(now, table.values()).mapInArrow(lifted, schema)
+        if m < order:
+            then = scratch.keep(lifted_rows, "none")
+            scratch.drop(now)
+            now = then
+        else:
+            now = lifted_rows
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = Block(row)
+            c = block.count[block.local]
+            base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
+            add = lambda x: np.add.reduceat(x, block.starts)
+            n = pa.array(block.ends - block.starts)
+            cols = [row["ids"].flatten(), pa.array(block.held_out), n, pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(n), tokens)), pa.array(add(base)), pa.array(add(np.log10(block.low)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return now.mapInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
 
+NUMBERED = ["block", "ids", "held_out", "ends", "vocabulary", "tokens", "number", "count", "low"]

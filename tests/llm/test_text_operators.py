@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -188,38 +189,66 @@ def test_solver_holds_every_item():
         assert all((c * np.arange(65)).sum() <= 64 for c, _ in plan)
 
 
-def test_katz(docs, rows, none):
+def good_turing(counts):
+    """r* = (r + 1) n(r+1) / n(r), freed mass rescaled so that counts above five keep theirs; half a count where that has no value."""
+    n = collections.Counter(counts)
+    past = 6 * n[6] / n[1] if n[1] else 0
+    share = {}
+    for r in range(1, 6):
+        ratio = ((r + 1) * n[r + 1] / n[r] / r - past) / (1 - past) if n[r] and past < 1 else 0
+        share[r] = ratio if 0 < ratio < 1 else 1 - 0.5 / r
+    return lambda r: r * share.get(r, 1)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz(docs, rows, none, monkeypatch, order):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(katz, "PART_TOKENS", 400)
     tokens = [(i, [*words_of(t), None]) for i, t in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    c, b = collections.Counter(), collections.Counter()
-    for i, t in tokens:
-        if not held(i):
-            c.update(t)
-            b.update(zip(["begin", *t], t, strict=False))
-    d1, d2 = (katz.discounts(collections.Counter(x.values())) for x in (c, b))
-    cut = lambda r, d: r if r > katz.TRUSTED else r * d[r]
-    n = sum(c.values())
-    kept = sum(cut(x, d1) for x in c.values())
-    p, unknown = {w: cut(x, d1) / n for w, x in c.items()}, 1 - kept / n
-    count, mass, lower = (collections.Counter() for _ in range(3))
-    for (x, y), r in b.items():
-        count[x] += r
-        mass[x] += cut(r, d2)
-        lower[x] += p[y]
-    whole = {x: count[x] if mass[x] < count[x] else count[x] + 1 for x in count}
-    back = {x: (1 - mass[x] / whole[x]) / max(1 - lower[x], unknown) for x in count}
-    for x in list(count)[:30]:
-        assert abs(sum(cut(r, d2) for (a, _), r in b.items() if a == x) / whole[x] + back[x] * (unknown + sum(q for w, q in p.items() if (x, w) not in b)) - 1) < 1e-9
+
+    def grams(t, m):
+        t = [*["begin"] * (m - 1), *t]
+        return [tuple(t[i : i + m]) for i in range(len(t) - m + 1)]
+
+    counts = {m: collections.Counter(g for i, t in tokens if not held(i) for g in grams(t, m)) for m in range(1, order + 1)}
+    cut = {m: good_turing(c.values()) for m, c in counts.items()}
+    n = sum(counts[1].values())
+    kept = sum(cut[1](r) for r in counts[1].values())
+    unknown = 1 - kept / n
+    follow = {m: collections.defaultdict(list) for m in counts}
+    for m, c in counts.items():
+        for g in c:
+            follow[m][g[:-1]].append(g[-1])
+
+    @functools.cache
+    def context(c):
+        m = len(c) + 1
+        r = [counts[m][*c, w] for w in follow[m][c]]
+        mass, whole = sum(map(cut[m], r)), sum(r)
+        whole += mass >= whole
+        return whole, (1 - mass / whole) / (1 - sum(p(c[1:], w) for w in follow[m][c]))
+
+    @functools.cache
+    def p(c, w):
+        m = len(c) + 1
+        if m == 1:
+            return cut[1](counts[1][w,]) / n if counts[1][w,] else unknown
+        if counts[m][*c, w]:
+            return cut[m](counts[m][*c, w]) / context(c)[0]
+        return p(c[1:], w) * (context(c)[1] if c in follow[m] else 1)
+
+    for c in list(follow[order])[:20]:
+        assert sum(p(c, w) for (w,) in counts[1]) + p(c, "never seen") == pytest.approx(1)
     want = []
     for i, t in tokens:
-        score = sum(math.log10(cut(b[x, y], d2) / whole[x]) if (x, y) in b else math.log10(back.get(x, 1) * p.get(y, unknown)) for x, y in zip(["begin", *t], t, strict=False))
-        base = sum(math.log10((c[y] + 0.1) / (n + 0.1 * (len(c) + 1))) for y in t)
-        want.append((i, held(i), len(t), sum(c[y] > 0 for y in t), n, base, score))
-    got = [tuple(r) for r in katz.score_texts(docs).collect()]
+        base = sum(math.log10((counts[1][w,] + 0.1) / (n + 0.1 * (len(counts[1]) + 1))) for w in t)
+        want.append((i, held(i), len(t), sum(counts[1][w,] > 0 for w in t), n, base, sum(math.log10(p(g[:-1], g[-1])) for g in grams(t, order))))
+    got = [tuple(r) for r in katz.score_texts(docs, order).collect()]
     assert len(got) == len(want)
     for x, y in zip(sorted(got), sorted(want), strict=True):
         assert x[:5] == y[:5] and x[5] == pytest.approx(y[5]) and x[6] == pytest.approx(y[6])
-    assert katz.score_texts(none).count() == 0
+    assert katz.score_texts(none, order).count() == 0
 
 
 def test_piece_codec(docs, rows, none):
