@@ -215,7 +215,10 @@ def fit(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: s
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs, and one struct column `QUALITY`: posterior (weak label), score (log odds of junk), kept."""
+    """All columns of docs, and one struct column `QUALITY`: posterior (weak label), score (log odds of junk), kept.
+
+    A column that is called `QUALITY` already is replaced.
+    """
     prepare(docs.sparkSession)
     kind = pa.struct([("posterior", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
     table = np.full(3**STATS, 0.0)
@@ -223,13 +226,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         table[p] = x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, part, at, stats, n in _chunks(batches, "__text"):
+        for b, part, at, stats, n in _chunks(batches, held):
             s = np.concatenate([model.scorer.score(features(part[at[i] : at[j]], at[i : j + 1] - at[i], stats[i:j], n[i:j]), n[i:j]) for i, j in ((k, min(k + 512, len(n))) for k in range(0, len(n), 512))])
             q = pa.StructArray.from_arrays([pa.array(table[pattern(votes(stats, n))]), pa.array(s), pa.array(s <= REJECT)], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], q], names=[*b.schema.names[:-1], QUALITY])
 
+    docs = docs.drop(QUALITY)
+    held = "__text" + "_" * max([0, *(len(c) for c in docs.columns if c.startswith("__text"))])
     schema = T.StructType([*docs.schema.fields, T.StructField(QUALITY, T.StructType([T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))])
-    return docs.withColumn("__text", F.col(text_col)).mapInArrow(run, schema)
+    return docs.withColumn(held, F.col(text_col)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

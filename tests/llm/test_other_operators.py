@@ -214,3 +214,24 @@ def test_pipeline_stages(spark):
     assert cut.count() == len(texts) and cut.columns == docs.columns
     packed = stages["best-fit packing"](spark, cut, sf)
     assert packed.select("doc_id").distinct().count() == len(texts)
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    """Shared ids, nulls, repeated rows, clashing columns and empty tables."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(100))
+    near = text + " more"
+    rows = [(1, text), (2, near), (2, "another text that shares its id with a near copy"), (None, text), (None, text), (3, None), (4, ""), (5, text), (6, "one"), (6, "one"), (7, "a b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "h", "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __near_3 string, __text string")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["n-gram Jaccard join"](spark, docs, "")
+    assert kept.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted([r for i, r in enumerate(rows) if i not in (1, 7, 9)], key=key)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.filter("false"), "")
+        assert none.count() == 0
+        assert name == "best-fit packing" or none.columns == docs.columns
+        out = stage(spark, docs, "")
+        assert out.count() >= 1 and (name == "best-fit packing" or out.columns == docs.columns)
