@@ -19,7 +19,7 @@ Words are told apart by 64-bit hashes, and so are contexts of two words or more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -34,10 +34,10 @@ from knnspark.llm.common import U64, Scratch, mix, prefix_sums, prepare, slices,
 #: Counts above this are trusted.
 TRUSTED = 5
 #: Hash of the mark of a text's last token, and the context before its first.
-END, BEGIN = mix(np.array([0xE0, 0xB0], U64))
+END, BEGIN = mix(np.array([0xE0], U64))[0], U64(0)
 _STEP = U64(0x9E3779B97F4A7C15)
 #: Bytes of text in a block, and tokens a table partition is made for.
-BLOCK_BYTES, PART_TOKENS = 8_000_000, 500_000
+BLOCK_BYTES, PART_TOKENS = 8_000_000, 1_000_000
 
 
 def held_out(id_: Column) -> Column:
@@ -45,11 +45,12 @@ def held_out(id_: Column) -> Column:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Few distinct values become places in their list; bytes of equal weight lie together."""
-    values, place = np.unique(x, return_inverse=True)
-    listed = len(values) * 2 < len(x)
-    head = values.tobytes() if listed else b""
-    body = place if listed else x
+    """Integers take as many bytes as the largest needs, few distinct floats become places in their list; bytes of equal weight lie together."""
+    head, body = b"", x
+    if x.dtype.kind == "f":
+        values, place = np.unique(x, return_inverse=True)
+        if len(values) * 2 < len(x):
+            head, body = values.tobytes(), place
     if body.dtype.kind in "iu" and len(body):
         body = body.astype(np.min_scalar_type(int(body.max())) if int(body.min()) >= 0 else body.dtype)
     planes = body.view(np.uint8).reshape(len(body), -1).T.tobytes() if len(body) else b""
@@ -86,6 +87,24 @@ def discounted(r: np.ndarray, d: list[float]) -> np.ndarray:
     return r * np.append(d, 1.0)[np.minimum(r, TRUSTED + 1)]
 
 
+def by_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places in rising order of context, then word."""
+    if len(word) and int(context.max()) < 1 << 32 and int(word.max()) < 1 << 32:
+        return np.argsort((context << U64(32)) | word, kind="stable")
+    return np.lexsort((word, context))
+
+
+def distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair, in rising order, stands first; and each row's pair."""
+    by = by_pair(context, word)
+    c, w = context[by], word[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+    of = np.empty(len(by), np.int64)
+    of[by] = np.cumsum(new) - 1
+    return by[new], of
+
+
 def blocks(rows: DataFrame, kind: str) -> DataFrame:
     """block, ids, held_out, ends, vocabulary, tokens; rows: doc_id, held_out, text. ends: tokens up to each document's end."""
 
@@ -131,12 +150,16 @@ class Block:
         for name in ("number", "count", "low"):
             setattr(self, name, unpack(row[name]) if row.get(name) else None)
 
+    def payload(self, order: int) -> np.ndarray:
+        """What an n-gram's table needs to know the lower order's probability of each token: of a word, its count."""
+        return self.low if order > 2 else self.count[self.local] if order == 2 else np.zeros(len(self.local), np.int64)
+
     def contexts(self, order: int) -> np.ndarray:
         """A key for the order - 1 tokens before each token; fewer at a text's start."""
         out = np.zeros(len(self.local), U64)
         for m in range(2, order + 1):
             before = self.number[self.local[:-1]].astype(U64)
-            out[1:] = following(out[:-1], before) if m > 2 else before
+            out[1:] = following(out[:-1], before) if m > 2 else before + U64(1)
             out[self.starts] = BEGIN
         return out
 
@@ -144,23 +167,19 @@ class Block:
         """Distinct (context, word) pairs by partition: their partitions, contexts, words, first tokens; and each token's pair."""
         word = self.number[self.local].astype(U64) if order > 1 else self.vocabulary[self.local]
         context = self.contexts(order)
-        if order > 1:
-            split = np.isin(context, hot)
-            part = (mix(np.where(split, context + mix(word), context) + _STEP) % U64(parts)).astype(np.int32)
-        else:
-            part = (word % U64(parts)).astype(np.int32)
-        by = np.lexsort((word, context, part))
-        new = np.ones(len(by), bool)
-        new[1:] = (word[by][1:] != word[by][:-1]) | (context[by][1:] != context[by][:-1])
-        of = np.empty(len(by), np.int64)
-        of[by] = np.cumsum(new) - 1
-        first = by[new]
-        return part[first], context[first], word[first], first, of
+        first, of = distinct(context, word)
+        c, w = context[first], word[first]
+        part = mix(np.where(np.isin(c, hot), c + mix(w), c) + _STEP) % U64(parts) if order > 1 else w % U64(parts)
+        part = part.astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return part[by], c[by], w[by], first[by], place[of]
 
     def dealt(self, order: int, parts: int, hot: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         part, context, word, first, of = self.grams(order, parts, hot)
         n = np.bincount(of, self.train, len(first)).astype(np.int64)
-        low = self.low[first] if order > 1 else np.ones(len(first))
+        low = self.payload(order)[first]
         edges = np.flatnonzero(np.append(np.append(True, part[1:] != part[:-1]), True)) if len(part) else []
         for a, b in zip(edges, edges[1:], strict=False):
             yield int(part[a]), pack(steps(context[a:b])), pack(word[a:b]), pack(n[a:b]), pack(low[a:b])
@@ -196,15 +215,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def one(held: list[dict]) -> pa.RecordBatch:
         context = np.concatenate([np.cumsum(unpack(h["contexts"]), dtype=U64) for h in held])
-        word, n, low = (np.concatenate([unpack(h[c]) for h in held]) for c in ("words", "n", "low"))
-        by = np.lexsort((word, context))
-        new = np.ones(len(by), bool)
-        new[1:] = (word[by][1:] != word[by][:-1]) | (context[by][1:] != context[by][:-1])
-        of = np.empty(len(by), np.int64)
-        of[by] = np.cumsum(new) - 1
-        first = by[new]
+        word, low = (np.concatenate([unpack(h[c]) for h in held]) for c in ("words", "low"))
+        each = [unpack(h["n"]) for h in held]
+        n = np.concatenate(each)
+        first, of = distinct(context, word)
         r = np.bincount(of, n, len(first)).astype(np.int64)
-        ends = np.cumsum([len(unpack(h["n"])) for h in held])[:-1]
+        ends = np.cumsum([len(x) for x in each])[:-1]
         places = [pack(steps(x)) for x in np.split(of, ends)]
         often = np.bincount(np.minimum(r, TRUSTED + 2), minlength=TRUSTED + 3)[: TRUSTED + 2]
         return _out(TABLE, [(held[0]["part"], pack(steps(context[first])), pack(word[first]), pack(r), pack(low[first]), [h["block"] for h in held], places, int((r > 0).sum()), int(r.sum()), often.tolist())])
@@ -248,7 +264,7 @@ class Table:
             for row in _rows(batches):
                 context, word, r = np.cumsum(unpack(row["contexts"]), dtype=U64), unpack(row["words"]), unpack(row["r"])
                 number = np.arange(len(r), dtype=np.int64) * parts + row["part"]
-                key = number.astype(U64) if order == 1 else following(context, word)
+                key = number.astype(U64) + U64(1) if order == 1 else following(context, word)
                 yield _out("key long", [(int(x),) for x in key[r >= max(1.0, least)].view(np.int64)])
 
         got = self.rows.select("part", "contexts", "words", "r").mapInArrow(run, "key long").collect()
@@ -268,12 +284,12 @@ class Table:
 
         return self.rows.select("part", "r", "blocks", "places").mapInArrow(run, "block long, part int, number binary, count binary")
 
-    def values(self) -> DataFrame:
-        """block, part, value: of each n-gram its probability, or minus its context's weight if it was not seen."""
+    def values(self, lower: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        """lower: probabilities from payloads. block, part, value: of each n-gram its probability, or minus its context's weight if it was not seen."""
         hot, d = self.hot, self.discounts
 
         def sums(row: dict) -> tuple:
-            context, r, low = np.cumsum(unpack(row["contexts"]), dtype=U64), unpack(row["r"]), unpack(row["low"])
+            context, r, low = np.cumsum(unpack(row["contexts"]), dtype=U64), unpack(row["r"]), lower(unpack(row["low"]))
             start = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
             seen = r > 0
             add = lambda x: np.add.reduceat(np.where(seen, x, 0.0), start)
@@ -332,10 +348,25 @@ def score_texts(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_co
             number, count = np.zeros(len(block.vocabulary), np.int64), np.zeros(len(block.vocabulary), np.int64)
             number[at] = np.concatenate([np.cumsum(unpack(x["number"])) for x in row["back"]])
             count[at] = np.concatenate([unpack(x["count"]) for x in row["back"]])
-            low = np.where(count > 0, discounted(count, d1) / whole, unknown)[block.local]
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), row["ids"], *[pa.array([x], pa.binary()) for x in (row["held_out"], row["ends"], row["vocabulary"] if order < 2 else b"", row["tokens"], pack(number), pack(count), pack(low))]], names=NUMBERED)
+            yield numbered_out(row, number=pack(number), count=pack(count))
+
+    def numbered_out(row: dict, **more: bytes) -> pa.RecordBatch:
+        row = row | {"vocabulary": row["vocabulary"] if order < 2 else b"", "low": row.get("low", b"")} | more
+        return pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), row["ids"], *[pa.array([row[n]], pa.binary()) for n in NUMBERED[2:]]], names=NUMBERED)
+
+    def single(count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, discounted(count, d1) / whole, unknown)
+
+    def scored(block: Block, ids: pa.Array, p: np.ndarray) -> pa.RecordBatch:
+        c = block.count[block.local]
+        base = np.log10((block.count + 0.1) / (tokens + 0.1 * (types + 1)))[block.local]
+        add = lambda x: np.add.reduceat(x, block.starts)
+        n = pa.array(block.ends - block.starts)
+        cols = [ids.flatten(), pa.array(block.held_out), n, pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(n), tokens)), pa.array(add(base)), pa.array(add(np.log10(p)))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"block long, ids array<{kind}>, " + ", ".join(f"{n} binary" for n in NUMBERED[2:])
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     then = scratch.keep(_with(now, words_.numbers()).mapInArrow(numbered, schema), "none")
     scratch.drop(now)
     now, table = then, words_
@@ -349,28 +380,22 @@ def score_texts(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_co
             for row in _rows(batches):
                 block = Block(row)
                 value = np.concatenate([unpack(x["value"]) for x in row["back"]])[block.grams(m, grams, hot)[4]]
-                row["low"] = pack(np.where(value > 0, value, -value * block.low))
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), row["ids"], *[pa.array([row[n]], pa.binary()) for n in NUMBERED[2:]]], names=NUMBERED)
-
-        lifted_rows = _with(now, table.values()).mapInArrow(lifted, schema)
-        if m < order:
-            then = scratch.keep(lifted_rows, "none")
-            scratch.drop(now)
-            now = then
-        else:
-            now = lifted_rows
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                p = np.where(value > 0, value, -value * (block.low if m > 2 else single(block.count)[block.local]))
+                yield scored(block, row["ids"], p) if m == order else numbered_out(row, low=pack(p))
+
+        back = _with(now, table.values(single if m == 2 else np.asarray))
+        if m == order:
+            return back.mapInArrow(lifted, result)
+        then = scratch.keep(back.mapInArrow(lifted, schema), "none")
+        scratch.drop(now)
+        now = then
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            c = block.count[block.local]
-            base = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
-            add = lambda x: np.add.reduceat(x, block.starts)
-            n = pa.array(block.ends - block.starts)
-            cols = [row["ids"].flatten(), pa.array(block.held_out), n, pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(n), tokens)), pa.array(add(base)), pa.array(add(np.log10(block.low)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return now.mapInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            yield scored(block, row["ids"], single(block.count)[block.local])
+
+    return now.mapInArrow(singles, result)
 
 
 NUMBERED = ["block", "ids", "held_out", "ends", "vocabulary", "tokens", "number", "count", "low"]
