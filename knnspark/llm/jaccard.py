@@ -35,7 +35,7 @@ from knnspark.llm.common import U64, Scratch, mix, prefix_sums, prepare, slices,
 from knnspark.llm.components import components
 
 #: Buckets of the count sketch, whatever the corpus (16 MB): it only orders shingles, and any order gives the same links.
-BITS, PART = 22, 16
+BITS, PART = 24, 16
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _ORDERS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 
@@ -66,13 +66,13 @@ def signature(s: np.ndarray) -> bytes:
 
 @dataclass
 class Orders:
-    """counts: of each sketch bucket; tokens of rare buckets come first."""
+    """counts: of each sketch bucket, from 128 on as a logarithm; tokens of rare buckets come first."""
 
     counts: np.ndarray
     percent: int
 
     def first(self, tokens: np.ndarray, length: int, order: int) -> np.ndarray:
-        count = np.minimum(self.counts[(tokens >> U64(64 - BITS)).astype(np.int64)], (1 << 24) - 1).astype(U64)
+        count = self.counts[(tokens >> U64(64 - BITS)).astype(np.int64)].astype(U64)
         key = (count << U64(40)) | (mix(tokens ^ _ORDERS[order]) >> U64(24))
         return tokens[np.argsort(key, kind="stable")[:length]]
 
@@ -159,10 +159,11 @@ def sketch(rows: DataFrame, tokens: Callable) -> np.ndarray:
 
     schema = "part int, counts binary"
     got = rows.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
-    out = np.zeros(1 << BITS, np.int64)
+    out = np.zeros(1 << BITS, np.uint8)
     for r in got:
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+        n = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+        out[r["part"] * width : (r["part"] + 1) * width] = np.where(n < 128, n, np.minimum(255, 128 + 4 * np.log2(np.maximum(n, 128) / 128)))
+    return out
 
 
 @dataclass
@@ -212,7 +213,7 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     of = F.when(F.col("doc_id").isNotNull(), F.col("sig")).alias("sig")
     members = scratch.keep(each.select("doc_id", F.col("n").cast("long").alias("n_shingles"), of).join(keys.select("id", "sig"), "sig", "left").select("doc_id", "n_shingles", "id"))
     scratch.drop(each)
-    clusters = _clusters(classes.select("id", *parts, F.col("id").alias("label")), orders, dense, scratch)
+    clusters = _clusters(classes.select("id", *parts), orders, dense, scratch)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,12 +254,17 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
 
 def _clusters(narrow: DataFrame, orders: Orders, dense: int, scratch: Scratch) -> DataFrame:
     """id, c, m, known: members of each cluster, its size, and how much of a member's prefix others share (the pivot has most)."""
-    entries = narrow.select("id", "n", "apart", "label", "half", F.posexplode("prefix").alias("at", "t")).withColumn("half", F.col("at") < F.col("half")).drop("at")
-    ones = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    of = entries.groupBy("t").agg(F.count(F.lit(1)).alias("m"), ones(F.col("apart")).alias("far"), ones(F.col("apart") & F.col("half")).alias("far_half"))
-    # a pair has a member that is apart from the pivot; two such meet in their shorter prefixes
-    shared = of.filter("m > 1 AND (far_half > 1 OR (far > 0 AND far < m))").select("t", "m")
-    rows = scratch.keep(entries.join(scratch.keep(shared), "t").select("t", "id", "n", "label", "m"))
+    labels = ["label"] if "label" in narrow.columns else []  # none yet: each member is its own
+    label = F.col(*labels) if labels else F.col("id").alias("label")
+    if labels:  # a pair has a member that is apart from the pivot; two such meet in their shorter prefixes
+        ones = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+        tokens = narrow.select("apart", "half", F.posexplode("prefix").alias("at", "t"))
+        of = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m"), ones(F.col("apart")).alias("far"), ones(F.col("apart") & (F.col("at") < F.col("half"))).alias("far_half"))
+        shared = of.filter("m > 1 AND (far_half > 1 OR (far > 0 AND far < m))").select("t", "m")
+    else:
+        shared = narrow.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    entries = narrow.select("id", "n", *labels, F.explode("prefix").alias("t"))
+    rows = scratch.keep(entries.join(scratch.keep(shared), "t").select("t", "id", "n", label, "m"))
     by_size = Window.partitionBy("t").orderBy("n", "id")
     gap = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * orders.percent, F.lit(True))
     runs = rows.filter(F.col("m") <= dense).withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(by_size))
@@ -267,7 +273,7 @@ def _clusters(narrow: DataFrame, orders: Orders, dense: int, scratch: Scratch) -
     sums = lists.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("id").alias("head"), F.max("id").alias("tail"), F.min("label").alias("l1"), F.max("label").alias("l2"))
     kept = scratch.keep(sums.filter("m > 1 AND l1 < l2").groupBy("m", "of", "head", "tail").agg(F.min("t").alias("t")).select("t", "m", "head"))
     listed = scratch.keep(lists.select("t", "id").join(kept, "t"))
-    small = listed.filter(F.col("m") <= dense).select("t", "id").join(narrow.select("id", "label", "n", "size", "wide"), "id").select("t", "id", "label", "n", "size", "wide")
+    small = listed.filter(F.col("m") <= dense).select("t", "id").join(narrow.select("id", label, "n", "size", "wide"), "id").select("t", "id", "label", "n", "size", "wide")
     near = small.repartition("t").sortWithinPartitions("t", "id").mapInArrow(_filter(orders), PAIRS)
     crowded = listed.filter(F.col("m") > dense).select(F.col("id").alias("a"), F.col("head").alias("b"))
     merged = scratch.keep(components(scratch.keep(near.unionByName(crowded)), scratch))

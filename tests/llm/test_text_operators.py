@@ -90,19 +90,19 @@ def test_jaccard_large_group_of_near_copies_takes_several_rounds(spark, monkeypa
     random = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(3000)]
     texts = [random.choice(vocabulary, 120)]
-    for _ in range(150):
+    for _ in range(90):
         t = texts[random.integers(len(texts))].copy()
         t[random.integers(0, 120, random.integers(1, 4))] = random.choice(vocabulary)
         texts.append(t)
-    rows = [(f"d{i % 146:03}", " ".join(t)) for i, t in enumerate(texts)]
+    rows = [(f"d{i % 86:03}", " ".join(t)) for i, t in enumerate(texts)]
     want, _ = groups(rows, 3, 90)
     rounds = []
     differ = jaccard._differ
     monkeypatch.setattr(jaccard, "_differ", lambda orders: rounds.append(1) or differ(orders))
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), dense=30, direct=14).collect()
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), dense=30, direct=9).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: r.component_id for r in got} == want
-    assert len(rounds) >= 3 and 1 < len(set(want.values())) < 120
+    assert len(rounds) >= 3 and 1 < len(set(want.values())) < 80
 
 
 def test_jaccard_empty_and_null_ids(spark, none):
