@@ -8,8 +8,7 @@ lower order's, and so on down to the unknown word's mass.
 
 Nothing travels token by token. Documents become blocks (a few MB of text as numbers of a vocabulary of the block's own). For each
 order, a block's distinct n-grams go, packed, to tables partitioned by their context's hash; there they are counted, and each
-block gets a value for each n-gram back: its probability, or minus its context's weight where it was not seen. The next order starts
-from these. Contexts that make a thousandth of all tokens or more (a thousand of them at most) are split by the next word, and
+block gets back each n-gram's count and each context's sum and weight, which make the probabilities. The next order starts from these. Contexts that make a thousandth of all tokens or more (a thousand of them at most) are split by the next word, and
 their sums added up apart, so that no context is too hot.
 
 Edge cases: null text is empty and has the end token only; a null id counts as the empty string for the split; every row is scored,
@@ -285,8 +284,8 @@ class Table:
         return self.rows.select("part", "r", "blocks", "places").mapInArrow(run, "block long, part int, number binary, count binary")
 
     def values(self, lower: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        """lower: probabilities from payloads. block, part, value: of each n-gram its probability, or minus its context's weight if it was not seen."""
-        hot, d = self.hot, self.discounts
+        """lower: probabilities from payloads. block, part, r, below, weight: each n-gram's count; of each of its contexts, the denominator, and the weight where it has unseen ones."""
+        hot, d, schema = self.hot, self.discounts, "block long, part int, r binary, below binary, weight binary"
 
         def sums(row: dict) -> tuple:
             context, r, low = np.cumsum(unpack(row["contexts"]), dtype=U64), unpack(row["r"]), lower(unpack(row["low"]))
@@ -312,11 +311,15 @@ class Table:
                     c[i], kept[i], low[i] = whole[int(context[start[i]])]
                 below = np.where(kept < c, c, c + 1)
                 weight = np.where(c > 0, (1 - kept / below) / np.maximum(1 - low, 1e-15), 1.0)
-                of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
-                value = np.where(r > 0, discounted(r, d) / below[of], -weight[of])
-                yield _out("block long, part int, value binary", [(b, row["part"], pack(value[np.cumsum(unpack(p))])) for b, p in zip(row["blocks"], row["places"], strict=True)])
+                of, out = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context)))), []
+                for block, packed in zip(row["blocks"], row["places"], strict=True):
+                    at = np.cumsum(unpack(packed))
+                    mine, group = np.unique(of[at], return_inverse=True)
+                    unseen = np.bincount(group, r[at] == 0) > 0
+                    out.append((block, row["part"], pack(r[at]), pack(below[mine].astype(np.int64)), pack(np.where(unseen, weight[mine], 0.0))))
+                yield _out(schema, out)
 
-        return rows.mapInArrow(run, "block long, part int, value binary")
+        return rows.mapInArrow(run, schema)
 
 
 def _with(blocks_: DataFrame, back: DataFrame) -> DataFrame:
@@ -376,11 +379,14 @@ def score_texts(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_co
         grams = max(32, tokens // PART_TOKENS)
         table = Table(now, m, grams, hot, scratch)
 
-        def lifted(batches: Iterator[pa.RecordBatch], m: int = m, grams: int = grams, hot: np.ndarray = hot) -> Iterator[pa.RecordBatch]:
+        def lifted(batches: Iterator[pa.RecordBatch], m: int = m, grams: int = grams, hot: np.ndarray = hot, d: list[float] = table.discounts) -> Iterator[pa.RecordBatch]:
             for row in _rows(batches):
                 block = Block(row)
-                value = np.concatenate([unpack(x["value"]) for x in row["back"]])[block.grams(m, grams, hot)[4]]
-                p = np.where(value > 0, value, -value * (block.low if m > 2 else single(block.count)[block.local]))
+                part, context, _, _, of = block.grams(m, grams, hot)
+                group = np.cumsum(np.append(False, (part[1:] != part[:-1]) | (context[1:] != context[:-1])))
+                r, below, weight = (np.concatenate([unpack(x[c]) for x in row["back"]]) for c in ("r", "below", "weight"))
+                seen, own, weight = (r > 0)[of], (discounted(r, d) / below[group])[of], weight[group][of]
+                p = np.where(seen, own, weight * (block.low if m > 2 else single(block.count)[block.local]))
                 yield scored(block, row["ids"], p) if m == order else numbered_out(row, low=pack(p))
 
         back = _with(now, table.values(single if m == 2 else np.asarray))
