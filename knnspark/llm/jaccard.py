@@ -26,16 +26,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knnspark.llm.common import U64, Scratch, mix, prefix_sums, prepare, slices, span_hash, utf8, words
 from knnspark.llm.components import components
 
-#: Buckets of the count sketch, whatever the corpus (16 MB): it only orders shingles, and any order gives the same links.
-BITS, PART = 24, 16
+#: Buckets of the count sketch, whatever the corpus (4 MB): it only orders shingles, and any order gives the same links.
+BITS, PART = 22, 16
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _ORDERS = (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 
@@ -166,6 +167,22 @@ def sketch(rows: DataFrame, tokens: Callable) -> np.ndarray:
     return out
 
 
+def _hashes(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    yield [b.column("h").to_numpy().view(U64)]
+
+
+def may_hold(rows: DataFrame, *key: str) -> Callable[..., Column]:
+    """A test of whether rows may hold a key, by one bit a bucket: what it lets pass still has to be joined, but most texts of others
+    needn't move for that. Its size doesn't grow; with far more keys than buckets it lets all pass."""
+    there = sketch(rows.select(F.xxhash64(*key).alias("h")), _hashes) > 0
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(there[(h.to_numpy().view(U64) >> U64(64 - BITS)).astype(np.int64)])
+
+    return lambda *columns: test(F.xxhash64(*columns))
+
+
 @dataclass
 class Join:
     members: DataFrame  # doc_id, n_shingles, id (of the class of equal sets; null if the set is empty)
@@ -223,7 +240,7 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
                 yield pa.RecordBatch.from_arrays(cols, names=["sig", "n", "need", "d"])
 
     wanted = scratch.keep(keys.join(clusters, "id"))
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(whole_sets, "sig binary, n int, need int, d binary")
+    texts = docs.filter(may_hold(wanted, "rep")("doc_id")).mapInArrow(whole_sets, "sig binary, n int, need int, d binary")
     first = wanted.join(texts, "sig").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("id", "c", "m", "known", "n", "need", "d")]).drop("sig")
     rows = first.select("*", F.col("id").alias("label"), F.lit(0).cast("long").alias("ch"))
     found = []
