@@ -33,9 +33,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("head"), F.max("n_shingles").alias("n"))
     odd = rows.filter("n > 0 AND (rows > 1 OR head <> doc_id)").select("doc_id.*", (F.col("head") != F.col("doc_id")).alias("__near_gone"))
     odd = Scratch(spark).keep(odd)  # most rows are neither copies nor repeated
-    marked = docs.withColumns({"__near_1": F.xxhash64("text"), "__near_2": F.xxhash64(F.lit(1), "text")}).join(odd, ["doc_id", "__near_1", "__near_2"], "left")
-    repeated = marked.filter("NOT __near_gone").dropDuplicates(["doc_id", "__near_1", "__near_2"])
-    return marked.filter("__near_gone IS NULL").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    marked = docs.withColumns({"__near_1": F.xxhash64("text"), "__near_2": F.xxhash64(F.lit(1), "text")})
+    by = ["doc_id", "__near_1", "__near_2"]
+    suspect = jaccard.may_hold(odd, *by)(*by)
+    checked = marked.filter(suspect).join(odd, by, "left")
+    repeated = checked.filter("NOT __near_gone").dropDuplicates(by)
+    plain = marked.filter(~suspect).select(*docs.columns)
+    return plain.unionByName(checked.filter("__near_gone IS NULL").select(*docs.columns)).unionByName(repeated.select(*docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
