@@ -51,8 +51,11 @@ def split(rows: DataFrame, dims: int, most: int) -> DataFrame:
     return marked.withColumn("leaf", F.concat("leaf", side)).select(*rows.columns)
 
 
-def leaves(rows: DataFrame, dims: int, most: int, levels: int) -> DataFrame:
-    """`levels` splits; ceil(log2(largest partition / most)) are enough."""
+def leaves(rows: DataFrame, dims: int, most: int, levels: int | None = None) -> DataFrame:
+    """Splits until no leaf has more than `most` rows, or `levels` times. Halves differ by a row, so the largest partition tells how often."""
+    if levels is None:
+        largest = rows.groupBy("pkey").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        levels = max(0, -(-largest // most) - 1).bit_length()
     out = rows.withColumn("leaf", F.lit(""))
     for _ in range(levels):
         out = split(out, dims, most)

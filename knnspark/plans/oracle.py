@@ -151,7 +151,7 @@ ORACLE_SQL = {
   [{", ".join(f"quantile_disc(v[1], CAST({i / 16} AS DOUBLE))" for i in range(1, 16))}] a, [{", ".join(f"quantile_disc(v[13], CAST({i / 8} AS DOUBLE))" for i in range(1, 8))}] b, [{", ".join(f"quantile_disc(v[7], CAST({i / 8} AS DOUBLE))" for i in range(1, 8))}] c FROM k5 GROUP BY key)
 SELECT rid, key, CAST(len(list_filter(a, lambda x: x < v[1])) * 64 + len(list_filter(b, lambda x: x < v[13])) * 8 + len(list_filter(c, lambda x: x < v[7])) AS INT) cell FROM k5 JOIN cuts USING (key)""",
     "dist_l2sq": f"WITH {V64} SELECT qid, rid, d FROM ea",
-    "dist_partial_filter": f"WITH {VEC} SELECT ba.qid, ba.rid, ba.d FROM ba JOIN bv USING (qid) JOIN q USING (qid) JOIN vec USING (rid) WHERE {dist('qv', 'v', 8)} <= worst AND ba.d <= worst",
+    "dist_partial_filter": f"WITH {VEC} SELECT ba.qid, ba.rid, ba.d FROM ba JOIN bv USING (qid) WHERE ba.d <= worst",
     "aabb_lower_bound": f"WITH {PART} SELECT qid, pst.pkey, {box('qv', 'bmin', 'bmax')} lb FROM q, pst",
     "radius_lower_bound": f"WITH {IVF} SELECT qid, cid, round(pow(greatest(sqrt(CAST(d AS DOUBLE)) - sqrt(CAST(radius2 AS DOUBLE)), 0), 2), 3) lb FROM sc JOIN st USING (cid)",
     "score_decision": f"WITH {VEC} SELECT qid, fraud_count, CAST(fraud_count / 5 AS DOUBLE) fraud_score, fraud_count <= 2 approved FROM bv",
@@ -218,5 +218,6 @@ SELECT extra_n, fast_count, count(*) FILTER (c > 2 AND ql = 0) fp, count(*) FILT
     "count_mismatch": f"WITH {IVF} SELECT count(*) FILTER (fv.fraud_count <> bv.fraud_count) mismatches, count(*) n FROM bv JOIN fv USING (qid)",
     "parse_failures": f"SELECT count(*) FILTER ({BAD}) failed, count(*) FILTER (NOT ({BAD})) parsed FROM events",
     "load_shed": "SELECT event_id, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id) > 4 shed FROM events",
+    "stream_score": f"WITH {VEC}, sa AS (SELECT qid, rid, label, {dist('qv', 'v')} d FROM q, vec), sr AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY d, rid) rn FROM sa), sv AS (SELECT qid, CAST(sum(label) AS BIGINT) fraud_count FROM sr WHERE rn <= 5 GROUP BY qid) SELECT CAST(qid AS VARCHAR) id, fraud_count, CAST(fraud_count / 5 AS DOUBLE) fraud_score, fraud_count <= 2 approved FROM sv",
     "stub_mode": "SELECT CAST(event_id AS VARCHAR) id, CAST(0 AS BIGINT) fraud_count, true approved FROM events",
 }

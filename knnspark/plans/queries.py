@@ -11,7 +11,7 @@ from knnspark.constants import DIMS
 from knnspark.functions import decision, distance, features, quantize
 from knnspark.operators import evaluate, ivf, knn, partitioned
 from knnspark.plans import fixtures as X
-from knnspark.plans.settings import EXTRA, K, LEAF, LEVELS, PROBES, ROUNDS, THRESHOLDS, UNIFORM
+from knnspark.plans.settings import EXTRA, K, LEAF, PROBES, ROUNDS, THRESHOLDS, UNIFORM
 from knnspark.schema import REQUEST
 from knnspark.sources import io
 from knnspark.streaming import score as streaming
@@ -242,7 +242,7 @@ def knn5_specialist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def knn5_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = partitioned.leaves(X.vectors(spark, sf_dir), DIMS, LEAF, LEVELS).persist()
+    ref = partitioned.leaves(X.vectors(spark, sf_dir), DIMS, LEAF).persist()
     return partitioned.search(X.queries_of(ref), ref, partitioned.boxes(ref, ["pkey", "leaf"], DIMS), DIMS, ["pkey", "leaf"]).select(*OUT)
 
 
@@ -300,8 +300,8 @@ simple("run_medians", lambda s, d: X.read(s, d, "events").groupBy("user_id").agg
 # partitions and trees
 of_vectors("partition_counts", lambda v: v.groupBy("pkey").agg(F.count(F.lit(1)).alias("n")))
 of_vectors("kdtree_split_level", lambda v: partitioned.leaves(v, DIMS, LEAF, 1).select("rid", "pkey", "leaf"))
-of_vectors("kdtree_leaves", lambda v: partitioned.leaves(v, DIMS, LEAF, LEVELS).select("rid", "pkey", "leaf"))
-of_vectors("leaf_bbox", lambda v: partitioned.boxes(partitioned.leaves(v, DIMS, LEAF, LEVELS), ["pkey", "leaf"], DIMS))
+of_vectors("kdtree_leaves", lambda v: partitioned.leaves(v, DIMS, LEAF).select("rid", "pkey", "leaf"))
+of_vectors("leaf_bbox", lambda v: partitioned.boxes(partitioned.leaves(v, DIMS, LEAF), ["pkey", "leaf"], DIMS))
 simple("partition_lb_rank", lambda s, d: aabb_lower_bound(s, d).select("qid", "pkey", F.rank().over(Window.partitionBy("qid").orderBy("lb", "pkey")).alias("place")))
 
 # samples, windows, sets

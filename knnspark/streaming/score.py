@@ -15,13 +15,14 @@ from knnspark.schema import REQUEST
 def score(requests: DataFrame, ref: DataFrame, dims: int = 14) -> DataFrame:
     """id, fraud_count, fraud_score, approved for rows of id, request (a JSON string).
 
-    A malformed request, and any request without reference rows, counts 0 and is approved.
+    A malformed request, and any request without reference rows, counts 0 and is approved. Each row is answered, also where an id
+    repeats; equal requests are searched once.
     """
     parsed = requests.select("id", F.from_json("request", REQUEST).alias("request")).select("id", features.vector("request").alias("qv"))
-    q = parsed.filter(F.col("qv").isNotNull()).select(F.xxhash64("id").alias("qid"), "id", "qv")
-    spread = ref.select(F.col("rid"), "v", "label")
-    votes = knn.vote(knn.brute(q, spread, dims)).join(q.select("qid", "id"), "qid").select("id", "fraud_count")
-    counted = parsed.select("id").join(votes, "id", "left").select("id", F.coalesce("fraud_count", F.lit(0)).cast("long").alias("fraud_count"))
+    parsed = parsed.withColumn("qid", F.xxhash64("qv"))
+    q = parsed.filter(F.col("qv").isNotNull()).select("qid", "qv").dropDuplicates(["qid"])
+    votes = knn.vote(knn.brute(q, ref.select("rid", "v", "label"), dims)).select("qid", "fraud_count")
+    counted = parsed.join(votes, "qid", "left").select("id", F.coalesce("fraud_count", F.lit(0)).cast("long").alias("fraud_count"))
     return counted.withColumns({"fraud_score": decision.score(F.col("fraud_count")), "approved": decision.approved(F.col("fraud_count"))})
 
 

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["src_reference_scan", "vectorize14", "partition_key8", "knn5_tx_brute", "knn5_specialist", "knn5_ivf", "kmeans_step", "kdtree_split_level", "calib_thresholds", "latency_percentiles", "win_tx_count_24h", "load_shed", "stub_mode", "score_detection", "grid_cell_key"]
+NAMES = ["src_reference_scan", "vectorize14", "partition_key8", "knn5_tx_brute", "knn5_specialist", "knn5_ivf", "kmeans_step", "kdtree_split_level", "calib_thresholds", "latency_percentiles", "win_tx_count_24h", "load_shed", "stub_mode", "stream_score", "dist_partial_filter", "escalate_next_n", "kdtree_leaves", "score_detection", "grid_cell_key"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -44,3 +44,14 @@ def test_entry(spark):
 
 def test_stream(spark):
     assert entry.queries()["stream_score"](spark, SF).count() == 50
+
+
+def test_repeated_requests_are_answered_alike(spark):
+    from knnspark.plans import fixtures, queries
+    from knnspark.streaming import score
+
+    request = queries.requests(spark, SF).orderBy("event_id").limit(2).selectExpr("CAST(event_id AS STRING) AS id", "request")
+    ref = fixtures.vectors(spark, SF)
+    once = {r.id: r.fraud_count for r in score.score(request, ref).collect()}
+    twice = score.score(request.unionByName(request), ref).collect()
+    assert len(twice) == 4 and all(r.fraud_count == once[r.id] for r in twice)

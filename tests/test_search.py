@@ -88,7 +88,7 @@ def test_fewer_than_five_neighbours_and_empty_tables(spark, data):
 
 def test_leaf_sizes(data):
     ref, _, _ = data
-    tree = partitioned.leaves(ref, DIMS, 4, 6)
+    tree = partitioned.leaves(ref, DIMS, 4)
     assert tree.groupBy("pkey", "leaf").count().agg(F.max("count")).first()[0] <= 4
     assert tree.count() == 400
 
