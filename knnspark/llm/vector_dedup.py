@@ -222,9 +222,10 @@ def _enlarged(nodes: DataFrame, graph: DataFrame, k: int, largest: int, n: int,
         full = scratch.keep(_saturated(graph, k, threshold))
         if k >= largest or full.isEmpty():
             return graph, full
-        k = min(2 * k, largest)
-        wider = graph.unionByName(_round(nodes, graph, k, n, full, threshold))
-        graph = scratch.keep(_best(wider, k))
+        k, had, has = min(2 * k, largest), 0, 1
+        while has > 1.001 * had:  # links only come, and lists end at k
+            graph = scratch.keep(_best(graph.unionByName(_round(nodes, graph, k, n, full, threshold)), k))
+            had, has = has, graph.filter(F.col("s") >= threshold).count()
 
 
 def _linked(nodes: DataFrame, graph: DataFrame, dense: DataFrame, k: int, trees: int, threshold: float, scratch: Scratch, turn: int) -> tuple[DataFrame, DataFrame]:

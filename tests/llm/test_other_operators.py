@@ -188,6 +188,31 @@ def test_sparse_pairs_are_all_found(spark):
     assert (got[0] == links).all() and (got[1] == heads).all()
 
 
+def test_search_alone_reaches_its_recall(spark):
+    """5,000 vectors in several blocks, no audit: what NN-descent itself finds."""
+    x = sparse_pairs(5000, 250, seed=4)
+    links, _ = exact_links(x)
+    got = deduped(spark, x, audit=0)
+    assert links.sum() == 500 and (got[0] <= links).all() and got[0].sum() >= 0.9 * links.sum()
+
+
+def test_dense_clumps_without_audit(spark):
+    """Two linked clumps of 150, of which no list can hold a link to the other, and a ring wider than the threshold."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 32))
+    a, b = np.eye(32)[0], 0.96 * np.eye(32)[0] + np.sqrt(1 - 0.96**2) * np.eye(32)[1]
+    x[:150] = a + 0.003 * rng.standard_normal((150, 32))
+    x[150:300] = b + 0.003 * rng.standard_normal((150, 32))
+    turn = rng.uniform(0, 2 * np.pi, 300)
+    x[300:600] = 0.002 * rng.standard_normal((300, 32))
+    x[300:600, 10] += np.cos(turn)
+    x[300:600, 11] += np.sin(turn)
+    x = x.astype(np.float32).astype(float)
+    links, heads = exact_links(x)
+    got = deduped(spark, x, audit=0)
+    assert (got[1] == heads).all() and (got[0] == links).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 103), (103, 101), (100, 100), (101, 103)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
