@@ -4,11 +4,13 @@ Centroids and cluster statistics are bounded by the number of clusters and trave
 probe ranking are projections over it, without a shuffle.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knnspark.constants import ESCALATE, PROBES
+from knnspark.constants import ESCALATE, PROBES, TOP
 from knnspark.functions.distance import box_bound, l2sq, l2sq_any, radius_bound
+from knnspark.operators import blocks
 from knnspark.operators.knn import nearest, vote
 
 
@@ -35,8 +37,7 @@ def scores(q: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def assign(ref: DataFrame, centroids: DataFrame) -> DataFrame:
     """Adds cid and cd (squared distance); the lowest cid on ties."""
-    near = F.array_min(F.transform(F.col("cs"), lambda c: F.struct(l2sq_any(F.col("v"), c["c"]).alias("d"), c["cid"].alias("cid"))))
-    return _with_centroids(ref, centroids).withColumn("_n", near).select(*ref.columns, F.col("_n.cid").alias("cid"), F.col("_n.d").alias("cd"))
+    return blocks.nearest_centroid(ref, centroids)
 
 
 def step(assigned: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
@@ -68,10 +69,20 @@ def members_of(probes: DataFrame, q: DataFrame, assigned: DataFrame, dims: int)
     return assigned.select("rid", "v", "label", "cid").join(wanted, "cid").filter("qid <> rid").select("qid", "rid", d.alias("d"), "label", "probe")
 
 
+def nearest_of(probes: DataFrame, q: DataFrame, assigned: DataFrame, dims: int) -> DataFrame:
+    """The nearest of the probed clusters: the probes go to the members where their number allows it, else they are joined."""
+    few, pairs = blocks.small(q.select("qid", "qv"), blocks.QUERIES), blocks.small(probes.select("qid", "cid"), blocks.WANTED)
+    if few is None or pairs is None:
+        return nearest(members_of(probes, q, assigned, dims)).drop("probe")
+    place = {qid: i for i, qid in enumerate(few.column("qid").to_pylist())}
+    wanted = pa.table({"at": pa.array([place[i] for i in pairs.column("qid").to_pylist()], pa.int64()), "key": pairs.column("cid")})
+    return blocks.nearest(assigned, few, TOP, ["cid"], wanted)
+
+
 def search(q: DataFrame, assigned: DataFrame, centroids: DataFrame, dims: int, probes: int = PROBES) -> DataFrame:
     """Fast tier only: the nearest in the first `probes` clusters."""
     ranks = scores(q, centroids).filter(F.col("rn") <= probes)
-    return nearest(members_of(ranks, q, assigned, dims))
+    return nearest_of(ranks, q, assigned, dims)
 
 
 def gate(fast: DataFrame, thresholds: tuple[int, ...], more: tuple[int, ...] = ESCALATE) -> DataFrame:
@@ -85,17 +96,17 @@ def gate(fast: DataFrame, thresholds: tuple[int, ...], more: tuple[int, ...] = E
 def tiered(q: DataFrame, assigned: DataFrame, centroids: DataFrame, dims: int, probes: int, thresholds: tuple[int, ...], more: tuple[int, ...]) -> DataFrame:
     """Fast tier, then `more[count]` further clusters for gated queries; clusters are ranked once."""
     ranks = scores(q, centroids)
-    gated = gate(vote(nearest(members_of(ranks.filter(F.col("rn") <= probes), q, assigned, dims))), thresholds, more)
+    gated = gate(vote(nearest_of(ranks.filter(F.col("rn") <= probes), q, assigned, dims)), thresholds, more)
     wanted = ranks.join(gated.select("qid", "extra"), "qid", "left").filter(F.col("rn") <= probes + F.coalesce("extra", F.lit(0)))
-    return nearest(members_of(wanted, q, assigned, dims))
+    return nearest_of(wanted, q, assigned, dims)
 
 
 def pruned(q: DataFrame, assigned: DataFrame, centroids: DataFrame, stats: DataFrame, dims: int, probes: int) -> DataFrame:
     """Exact: the fast tier's fifth distance bounds which other clusters can matter, by box and by radius."""
-    bound = vote(search(q, assigned, centroids, dims, probes)).join(search(q, assigned, centroids, dims, probes).groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid")
+    bound = search(q, assigned, centroids, dims, probes).groupBy("qid").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("n"))
     tau = q.select("qid", "qv").join(bound, "qid", "left").withColumn("tau", F.when(F.col("n") >= 5, F.col("worst")).otherwise(F.lit(2**62)))
     boxes = scores(q, centroids).join(F.broadcast(stats), "cid").join(tau.select("qid", "qv", "tau"), "qid")
     box = box_bound(F.col("qv"), F.col("bmin"), F.col("bmax"), dims)
     ball = radius_bound(F.col("d"), F.sqrt(F.col("radius2").cast("double")))
     keep = boxes.filter((box <= F.col("tau")) & (ball <= F.col("tau") + 1)).select("qid", "cid", "rn")
-    return nearest(members_of(keep, q, assigned, dims))
+    return nearest_of(keep, q, assigned, dims)

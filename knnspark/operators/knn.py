@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from knnspark.constants import TOP
 from knnspark.functions.distance import l2sq
+from knnspark.operators import blocks
 
 #: Queries a block holds; one block's rows are broadcast, more are dealt to reference rows block by block.
 BLOCK = 20_000
@@ -30,7 +31,10 @@ def nearest(candidates: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def brute(q: DataFrame, ref: DataFrame, dims: int, k: int = TOP) -> DataFrame:
-    """qid, rid, d, label, rn by comparing every pair."""
+    """qid, rid, d, label, rn by comparing every pair: as matrix products for up to `BLOCK` queries, else as joined rows."""
+    few = blocks.small(q.select("qid", "qv"), BLOCK)
+    if few is not None:
+        return blocks.nearest(ref, few, k)
     d = l2sq(F.col("qv"), F.col("v"), dims)
     return nearest(pairs(q.select("qid", "qv"), ref.select("rid", "v", "label")).select("qid", "rid", d.alias("d"), "label"), k)
 

@@ -41,7 +41,7 @@ class Index:
         self.ref = X.vectors(spark, sf_dir).persist()
         self.q = X.queries_of(self.ref)
         self.centroids = ivf.train(self.ref, K, ROUNDS, DIMS)
-        self.assigned = ivf.assign(self.ref, self.centroids)
+        self.assigned = ivf.assign(self.ref, self.centroids).persist()
 
     @property
     def stats(self) -> DataFrame:
