@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,15 +70,15 @@ class Index:
         return fast.join(full, "qid").join(self.q.select("qid", (F.col("label") == 0).alias("expected")), "qid")
 
     def sweep(self, values: list[int], gated: bool) -> DataFrame:
-        """extra_n, qid, fast_count, count: all settings in one pass over candidates that are ranked once."""
-        gate = self.gate().select("qid", "escalate", F.col("fraud_count").alias("fast_count"))
-        ranks = self.ranks.filter(F.col("rn") <= PROBES + max(values))
-        found = ivf.members_of(ranks, self.q, self.assigned, DIMS).join(gate, "qid")
-        wide = found.withColumn("extra_n", F.explode(F.array(*[F.lit(v) for v in values])))
-        extra = F.when(F.col("escalate"), F.col("extra_n")).otherwise(0) if gated else F.col("extra_n")
-        place = F.row_number().over(Window.partitionBy("extra_n", "qid").orderBy("d", "rid"))
-        top = wide.filter(F.col("probe") <= PROBES + extra).withColumn("rn", place).filter("rn <= 5")
-        return top.groupBy("extra_n", "qid", "fast_count").agg(F.sum("label").alias("count")).join(self.q.select("qid", F.col("label").alias("ql")), "qid")
+        """extra_n, qid, fast_count, count: the gate and the ranks are made once, each setting's candidates are searched by blocks."""
+        gate = self.gate().select("qid", "escalate", F.col("fraud_count").alias("fast_count")).persist()
+        ranks = self.ranks.filter(F.col("rn") <= PROBES + max(values)).join(gate, "qid").persist()
+        votes = []
+        for v in values:
+            extra = F.when(F.col("escalate"), v).otherwise(0) if gated else F.lit(v)
+            top = ivf.nearest_of(ranks.filter(F.col("rn") <= PROBES + extra), self.q, self.assigned, DIMS)
+            votes.append(top.groupBy("qid").agg(F.sum("label").alias("count")).withColumn("extra_n", F.lit(v)))
+        return reduce(DataFrame.unionByName, votes).join(gate.select("qid", "fast_count"), "qid").join(self.q.select("qid", F.col("label").alias("ql")), "qid")
 
 
 def errors(rows: DataFrame, by: list[str]) -> DataFrame:
