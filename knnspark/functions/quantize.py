@@ -23,3 +23,9 @@ def with_sentinel(x: Column) -> Column:
 def signed(vector: Column) -> Column:
     """A vector on the grid without clamping."""
     return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE + 0.5).cast("int"))
+
+
+def positive_int(text: Column, default: int) -> Column:
+    """A setting's value: whole numbers from 1 up, else the default."""
+    n = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("long"))
+    return F.when(n >= 1, n).otherwise(F.lit(default)).cast("long")

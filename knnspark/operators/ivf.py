@@ -4,11 +4,12 @@ Centroids and cluster statistics are bounded by the number of clusters and trave
 probe ranking are projections over it, without a shuffle.
 """
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knnspark.constants import ESCALATE, PROBES, TOP
+from knnspark.constants import ESCALATE, LLOYD, PROBES, SAMPLE, TOP
 from knnspark.functions.distance import box_bound, l2sq, l2sq_any, radius_bound
 from knnspark.operators import blocks
 from knnspark.operators.knn import nearest, vote
@@ -56,6 +57,31 @@ def train(ref: DataFrame, k: int, rounds: int, dims: int) -> DataFrame:
     return now
 
 
+def spread_seeds(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """k-means++: each further seed is a row drawn in proportion to its squared distance to the nearest seed so far."""
+    chosen = [int(random.integers(len(x)))]
+    near = blocks.squares(x, x[chosen])[:, 0]
+    while len(chosen) < k:
+        mass = np.cumsum(near.astype(np.float64))
+        at = int(np.searchsorted(mass, random.random() * mass[-1], "right")) if mass[-1] > 0 else int(random.integers(len(x)))
+        chosen.append(min(at, len(x) - 1))
+        near = np.minimum(near, blocks.squares(x, x[chosen[-1:]])[:, 0])
+    return x[chosen]
+
+
+def train_sampled(ref: DataFrame, k: int, rounds: int = LLOYD, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """cid, c: k-means on the driver over the `sample` rows with the smallest hash, seeded by k-means++; means half up, empty clusters stay."""
+    spark, random = ref.sparkSession, np.random.default_rng(seed)
+    x = blocks.ints(ref.select("v", "rid").orderBy(F.xxhash64(F.lit(seed), "rid"), "rid").limit(sample).toArrow().column("v"))
+    now = spread_seeds(x, min(k, len(x)), random) if len(x) else x
+    for _ in range(rounds if len(x) else 0):
+        near = np.concatenate([blocks.squares(x[at : at + 2048], now).argmin(axis=1) for at in range(0, len(x), 2048)])
+        n = np.bincount(near, minlength=len(now))
+        total = np.stack([np.bincount(near, x[:, i], len(now)) for i in range(x.shape[1])], 1)
+        now = np.where(n[:, None] > 0, np.floor(total / np.maximum(n, 1)[:, None] + 0.5).astype(np.int64), now)
+    return spark.createDataFrame([(i, c) for i, c in enumerate(now.tolist())], "cid int, c array<int>")
+
+
 def statistics(assigned: DataFrame, dims: int) -> DataFrame:
     """cid, n, bmin, bmax, radius2 of real members."""
     col = lambda f: F.array(*[f(F.col("v")[i]) for i in range(dims)])

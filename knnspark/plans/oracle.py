@@ -220,4 +220,9 @@ SELECT extra_n, fast_count, count(*) FILTER (c > 2 AND ql = 0) fp, count(*) FILT
     "load_shed": "SELECT event_id, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id) > 4 shed FROM events",
     "stream_score": f"WITH {VEC}, sa AS (SELECT qid, rid, label, {dist('qv', 'v')} d FROM q, vec), sr AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY d, rid) rn FROM sa), sv AS (SELECT qid, CAST(sum(label) AS BIGINT) fraud_count FROM sr WHERE rn <= 5 GROUP BY qid) SELECT CAST(qid AS VARCHAR) id, fraud_count, CAST(fraud_count / 5 AS DOUBLE) fraud_score, fraud_count <= 2 approved FROM sv",
     "stub_mode": "SELECT CAST(event_id AS VARCHAR) id, CAST(0 AS BIGINT) fraud_count, true approved FROM events",
+    "index_info": "SELECT count(*) dataset_count FROM events",
+    "run_artifacts": f"WITH {TX} SELECT label, count(*) n FROM tx GROUP BY label",
+    "synthetic_queries": "SELECT range qid, array_to_string([CAST(CAST('0x' || substr(md5(range || ':' || i), 1, 8) AS BIGINT) % 20000 - 10000 AS INT) FOR i IN range(14)], ',') qv FROM range(1000)",
+    "config_int": f"WITH {TX}, st AS (SELECT event_id, CASE k % 5 WHEN 0 THEN 'abc' WHEN 1 THEN '' WHEN 2 THEN CAST(k - 20 AS VARCHAR) WHEN 3 THEN '1.5' ELSE CAST(cents AS VARCHAR) END s FROM ev) SELECT event_id, CASE WHEN regexp_matches(s, '^[+-]?[0-9]+$') AND TRY_CAST(s AS BIGINT) >= 1 THEN CAST(s AS BIGINT) ELSE 8 END setting FROM st",
 }
+ORACLE_SQL["score_partitioned"] = ORACLE_SQL["stream_score"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from knnspark.constants import DIMS
 from knnspark.functions import decision, distance, features, quantize
-from knnspark.operators import evaluate, ivf, knn, partitioned
+from knnspark.operators import evaluate, index, ivf, knn, partitioned
 from knnspark.plans import fixtures as X
 from knnspark.plans.settings import EXTRA, K, LEAF, PROBES, ROUNDS, THRESHOLDS, UNIFORM
 from knnspark.schema import REQUEST
@@ -112,6 +113,12 @@ def brute64(s: SparkSession, d: str) -> DataFrame:
     return knn.brute(X.queries_of(ref), ref, 64)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that driver and executors share: the checkpoint folder, else the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{at.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 c = F.col
 # sources
 simple("src_reference_scan", X.vec64)
@@ -122,12 +129,8 @@ of_index("debug_info", lambda x: x.assigned.agg(F.count(F.lit(1)).alias("dataset
 
 @query
 def idx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-    import uuid
-
     x = Index(spark, sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = shared_path(spark, "index")
     io.save_index(path, x.assigned, x.centroids, x.stats, K)
     return io.load_index(spark, path)[0].select("rid", "v", "label", "cid", "cd")
 
@@ -318,6 +321,34 @@ of_index("unscanned_except", lambda x: x.ranks.select("qid", "cid").exceptAll(x.
 of_index("knn_recall_at5", lambda x: knn.recall(x.fast(), x.exact()))
 of_index("count_mismatch", lambda x: x.records().agg(evaluate.count_if(c("fast_count") != c("full_count")).alias("mismatches"), F.count(F.lit(1)).alias("n")))
 
+# index objects, settings, artifacts
+@query
+def score_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated requests, scored through a partitioned index that was saved and loaded."""
+    path = shared_path(spark, "tree")
+    index.Partitioned.build(X.vectors(spark, sf_dir)).save(path)
+    asked = requests(spark, sf_dir).filter(c("event_id") % X.EVERY == 0).select(c("event_id").cast("string").alias("id"), "request")
+    return streaming.score(asked, index.Partitioned.load(spark, path))
+
+
+@query
+def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.Partitioned.build(X.vectors(spark, sf_dir)).info().select("dataset_count")
+
+
+@query
+def run_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label counts as a run's results, written and read again."""
+    path = shared_path(spark, "run")
+    counts = QUERIES["label_counts"](spark, sf_dir)
+    io.save_run(path, counts, {"run_id": "labels", "input": sf_dir}, counts.agg(F.sum("n").alias("rows")))
+    return spark.read.schema("label int, n long").json(f"{path}/results")
+
+
+simple("kmeans_plusplus", lambda s, d: ivf.train_sampled(X.vectors(s, d), K))
+simple("synthetic_queries", lambda s, d: index.synthetic_queries(s, 1000))
+simple("config_int", lambda s, d: X.events(s, d).select("event_id", quantize.positive_int(F.when(c("k") % 5 == 0, "abc").when(c("k") % 5 == 1, "").when(c("k") % 5 == 2, (c("k") - 20).cast("string")).when(c("k") % 5 == 3, "1.5").otherwise(c("cents").cast("string")), 8).alias("setting")))
+
 # streams
 simple("load_shed", lambda s, d: streaming.shed(X.read(s, d, "events").withColumn("batch", F.date_trunc("hour", "ts")), "batch", "event_id", 4).select("event_id", "shed"))
 simple("stub_mode", lambda s, d: streaming.score(requests(s, d).select(c("event_id").cast("string").alias("id"), "request"), X.vectors(s, d).filter("false")).select("id", "fraud_count", "approved"))
@@ -326,11 +357,7 @@ simple("stub_mode", lambda s, d: streaming.score(requests(s, d).select(c("event_
 @query
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream of the stated requests, scored batch by batch against all transactions."""
-    import tempfile
-    import uuid
-
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    at = f"{shared}/stream-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     requests(spark, sf_dir).filter(c("event_id") % X.EVERY == 0).select(c("event_id").cast("string").alias("id"), "request").write.parquet(f"{at}/in")
     stream = spark.readStream.schema("id string, request string").parquet(f"{at}/in")
     done = streaming.start(stream, X.vectors(spark, sf_dir), lambda rows, number: rows.write.mode("append").parquet(f"{at}/out"), f"{at}/state")

@@ -48,3 +48,25 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     if (meta.format, meta.version, meta.quant_scale) != ("knnspark", 1, C.SCALE):
         raise ValueError(f"not an index of this version: {meta}")
     return tuple(spark.read.parquet(f"{path}/{x}") for x in ("members", "centroids", "statistics"))
+
+
+def save_tree(path: str, members: DataFrame, directory: DataFrame) -> None:
+    """The partitioned index: members lie by partition and leaf, the directory holds each leaf's size and box."""
+    spark = members.sparkSession
+    members.repartition("pkey", "leaf").sortWithinPartitions("pkey", "leaf", "rid").write.mode("overwrite").parquet(f"{path}/members")
+    directory.write.mode("overwrite").parquet(f"{path}/directory")
+    spark.createDataFrame([("knnspark-tree", 1, C.SCALE, members.count(), directory.count())], META).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    meta = spark.read.schema(META).parquet(f"{path}/meta").first()
+    if (meta.format, meta.version, meta.quant_scale) != ("knnspark-tree", 1, C.SCALE):
+        raise ValueError(f"not a partitioned index of this version: {meta}")
+    return tuple(spark.read.parquet(f"{path}/{x}") for x in ("members", "directory"))
+
+
+def save_run(path: str, results: DataFrame, manifest: dict[str, str], stats: DataFrame) -> None:
+    """A run's artifacts as JSON lines: results, what was run, and samples taken meanwhile."""
+    results.write.mode("overwrite").json(f"{path}/results")
+    results.sparkSession.createDataFrame([tuple(manifest.values())], ", ".join(f"`{k}` string" for k in manifest)).write.mode("overwrite").json(f"{path}/manifest")
+    stats.write.mode("overwrite").json(f"{path}/stats")

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["src_reference_scan", "vectorize14", "partition_key8", "knn5_tx_brute", "knn5_specialist", "knn5_ivf", "kmeans_step", "kdtree_split_level", "calib_thresholds", "latency_percentiles", "win_tx_count_24h", "load_shed", "stub_mode", "stream_score", "dist_partial_filter", "escalate_next_n", "kdtree_leaves", "score_detection", "grid_cell_key"]
+NAMES = ["src_reference_scan", "vectorize14", "partition_key8", "knn5_tx_brute", "knn5_specialist", "knn5_ivf", "kmeans_step", "kdtree_split_level", "calib_thresholds", "latency_percentiles", "win_tx_count_24h", "load_shed", "stub_mode", "stream_score", "dist_partial_filter", "escalate_next_n", "kdtree_leaves", "score_detection", "grid_cell_key", "score_partitioned", "index_info", "run_artifacts", "synthetic_queries", "config_int", "calib_topn_sweep", "calib_perclass_sweep", "knn5_pruned"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 

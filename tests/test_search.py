@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from knnspark.constants import DIMS
 from knnspark.functions import features
-from knnspark.operators import evaluate, ivf, knn, partitioned
+from knnspark.operators import blocks, evaluate, index, ivf, knn, partitioned
 from knnspark.sources import io
 
 
@@ -72,6 +73,47 @@ def test_clustered_search(spark, data, tmp_path):
     assert members.count() == 400
 
 
+def test_indexes_live_on_disk(spark, data, tmp_path):
+    ref, q, want = data
+    plain = q.select("qid", "qv")
+    index.Partitioned.build(ref, most=8).save(str(tmp_path / "t"))
+    tree = index.Partitioned.load(spark, str(tmp_path / "t")).ready(5)
+    assert lists(tree.search(plain)) == want and tree.info().first().dataset_count == 400
+    assert tree.directory.agg(F.max("n")).first()[0] <= 8
+    index.Clustered.build(ref, k=8).save(str(tmp_path / "c"))
+    clusters = index.Clustered.load(spark, str(tmp_path / "c")).ready(5)
+    assert lists(clusters.search(plain)) == want  # eight probes are all clusters
+    assert tuple(clusters.info().first()) == (400, 8) and index.Clustered.build(ref).info().first().k == round(4096 * (400 / 3e6) ** 0.5)
+    with pytest.raises(ValueError):
+        index.Partitioned.load(spark, str(tmp_path / "c"))
+
+
+def test_joins_equal_blocks(data, monkeypatch):
+    """More queries than may travel are joined; the answers are the same."""
+    ref, q, want = data
+    monkeypatch.setattr(blocks, "QUERIES", 3)
+    centroids = ivf.train(ref, 8, 2, DIMS)
+    assigned = ivf.assign(ref, centroids).cache()
+    assert lists(ivf.search(q, assigned, centroids, DIMS, 8)) == want
+    assert lists(partitioned.search(q, ref, partitioned.boxes(ref, ["pkey"], DIMS), DIMS, ["pkey"])) == want
+
+
+def test_squares_of_large_numbers_are_exact():
+    a, b = np.array([[2**30, -5], [3, 4]]), np.array([[-(2**30), 7]])
+    assert blocks.squares(a, b).tolist() == [[2**62 + 144], [(2**30 + 3) ** 2 + 9]]
+
+
+def test_spread_seeds(spark, data):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + rng.integers(-9, 10, (50, 3)) for c in ([0, 0, 0], [5000, 0, 0], [0, 5000, 0], [0, 0, 5000])])
+    seeds = ivf.spread_seeds(x, 4, np.random.default_rng(2))
+    assert len({tuple(np.round(s / 5000).astype(int)) for s in seeds}) == 4  # one in each clump
+    assert len(ivf.spread_seeds(np.zeros((3, 2), np.int64), 3, rng)) == 3
+    ref, _, _ = data
+    inertia = [ivf.assign(ref, ivf.train_sampled(ref, 8, n)).agg(F.sum("cd")).first()[0] for n in (0, 6)]
+    assert inertia[1] < inertia[0] and ivf.train_sampled(ref.filter("false"), 8).count() == 0
+
+
 def test_inertia_falls(data):
     ref, _, _ = data
     at = [ivf.assign(ref, ivf.train(ref, 8, n, DIMS)).agg(F.sum("cd")).first()[0] for n in (0, 3)]
