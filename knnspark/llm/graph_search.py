@@ -35,10 +35,10 @@ def equal_norms(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(norms.max(initial=0) - norms, 0))[:, None]], 1).astype(np.float32)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int, expand: int = 4, visited: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For all rows of q at once: the beam's nodes, nearest first, and their squared distances.
 
-    graph: neighbours of each node, -1 where there are fewer.
+    graph: neighbours of each node, -1 where there are fewer. visited: gets the number of nodes that each walk has seen.
     """
     n, rows = len(x), np.arange(len(q))
     norms = (x * x).sum(1)
@@ -54,6 +54,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, bea
         pick = np.argsort(waiting, axis=1, kind="stable")[:, :expand]
         active = np.isfinite(np.take_along_axis(waiting, pick, 1))
         if not active.any():
+            if visited is not None:
+                visited.extend(seen[:, :n].sum(1).tolist())
             return nodes, dist
         live = np.flatnonzero(active.any(1))
         pick, active = pick[live], active[live]
@@ -122,7 +124,7 @@ def build_graph(x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
     return graph, entry
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4000, block_rows: int = 2000, degree: int = 32, beam: int = 96, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 20_000, block_rows: int = 2000, degree: int = 32, beam: int = 96, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that were found for all rows whose id is divisible by `every`."""
     spark = vectors.sparkSession
     prepare(spark)

@@ -213,6 +213,22 @@ def test_dense_clumps_without_audit(spark):
     assert (got[1] == heads).all() and (got[0] == links).all()
 
 
+def test_walk_of_a_production_shard():
+    """20,000 vectors around 200 centres, a default shard: recall of the 20 nearest by walks that see a tenth of it at most."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((200, 32)), 100, 0) + 0.7 * rng.standard_normal((20000, 32))
+    e = graph_search.equal_norms(x)
+    graph, entry = graph_search.build_graph(e)
+    q, seen = x[::100], []
+    found, _ = graph_search.beam_search(e, graph, entry, np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), 96, visited=seen)
+    score = q @ x.T
+    best = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    near = np.take_along_axis(found, np.argsort(-np.einsum("ij,ikj->ik", q, x[found]), axis=1, kind="stable")[:, :20], 1)
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, near, strict=True)])
+    print(f"recall {recall:.3f}, seen {np.mean(seen) / len(x):.3f}")
+    assert recall >= 0.9 and np.mean(seen) <= 0.1 * len(x)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 103), (103, 101), (100, 100), (101, 103)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
