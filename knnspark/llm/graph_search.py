@@ -13,7 +13,7 @@ others; what a walk finds is expanded to the smallest ids.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; with fewer candidates than k all
 are returned; ties go to the smaller id; rows that repeat an id are candidates each, but never for their own id's query;
-empty tables give empty results; other columns are ignored.
+empty tables give empty results; other columns are ignored; vectors of unequal lengths are an error.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ partition and round, until none is lost; after `most` audits a recall below `tar
 
 Cosines are compared in double precision. Edge cases: vectors that are null, zero or hold null or non-finite components link
 with nothing and are their own component; copies link with each other; rows that repeat an id are one vector with the links of each
-(one result row each); a null id has no links; empty tables give empty results; other columns are ignored.
+(one result row each); a null id has no links; empty tables give empty results; other columns are ignored; vectors of unequal
+lengths are an error.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ def usable(vector: Column) -> Column:
 
 
 def matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column of equal lengths as rows, in double precision."""
+    """A list column of equal lengths as rows, in double precision; unequal lengths are an error."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if len(pc.unique(pc.list_value_length(col))) > 1:
+        raise ValueError("vectors must have equal lengths")
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
 

@@ -229,6 +229,15 @@ def test_walk_of_a_production_shard():
     assert recall >= 0.9 and np.mean(seen) <= 0.1 * len(x)
 
 
+def test_vectors_of_unequal_length_are_an_error(spark):
+    rows = [(1, [1.0, 2.0, 3.0], 0, 1, "a"), (2, [4.0, 5.0, 6.0, 7.0, 8.0], 0, 1, "a")]
+    df = spark.createDataFrame(rows, VECTORS).coalesce(1)
+    with pytest.raises(Exception, match="equal lengths"):
+        vector_dedup.near_duplicates(df).count()
+    with pytest.raises(Exception, match="dimension|shape"):
+        graph_search.search(df, every=1).count()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 103), (103, 101), (100, 100), (101, 103)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
