@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knnspark.constants import DIMS
+from knnspark.constants import DIMS, TOP
 from knnspark.functions import decision, distance, features, quantize
 from knnspark.operators import evaluate, index, ivf, knn, partitioned
 from knnspark.plans import fixtures as X
@@ -198,10 +198,7 @@ def dist_l2sq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dist_partial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight dimensions first, the rest for what is left."""
     ref = X.vectors(spark, sf_dir).persist()
-    q = X.queries_of(ref)
-    bound = q.select("qid", "qv").join(knn.vote(knn.brute(q, ref, DIMS)).select("qid", "worst"), "qid")
-    near = knn.pairs(bound, ref).filter(distance.l2sq(c("qv"), c("v"), 8) <= c("worst"))
-    return near.select("qid", "rid", distance.l2sq(c("qv"), c("v"), DIMS).alias("d"), "worst").filter("d <= worst").drop("worst")
+    return knn.within(X.queries_of(ref), ref, TOP, 8)
 
 
 @query

@@ -98,6 +98,54 @@ def test_joins_equal_blocks(data, monkeypatch):
     assert lists(partitioned.search(q, ref, partitioned.boxes(ref, ["pkey"], DIMS), DIMS, ["pkey"])) == want
 
 
+def compares_rows(df):
+    """Whether the plan pairs rows of queries with rows of the table."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "MapInArrow" not in plan or "qid#" in plan and "Join" in plan
+
+
+@pytest.mark.parametrize("wanted", [1_000_000, 9])
+def test_more_queries_than_travel_come_in_blocks(data, monkeypatch, wanted):
+    ref, q, want = data
+    monkeypatch.setattr(blocks, "QUERIES", 3)
+    monkeypatch.setattr(blocks, "WANTED", wanted)
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    centroids = ivf.train(ref, 8, 2, DIMS)
+    assigned = ivf.assign(ref, centroids).cache()
+    found = [
+        knn.brute(q, ref, DIMS), ivf.search(q, assigned, centroids, DIMS, 8), ivf.pruned(q, assigned, centroids, ivf.statistics(assigned, DIMS), DIMS, 2),
+        ivf.tiered(q, assigned, centroids, DIMS, 8, (0,) * 6, (0,) * 6), partitioned.search(q, ref, partitioned.boxes(ref, ["pkey"], DIMS), DIMS, ["pkey"]),
+    ]
+    for df in found:
+        assert not compares_rows(df) and lists(df) == want
+
+
+def test_rows_within_the_fifth_distance(data, monkeypatch):
+    ref, q, want = data
+    monkeypatch.setattr(knn, "BLOCK", 7)
+    rows = {r.rid: r.v for r in ref.collect()}
+    got = {(r.qid, r.rid): r.d for r in knn.within(q, ref, 5, 8).collect()}
+    far = {(i, j): sum((a - b) ** 2 for a, b in zip(rows[i], w, strict=True)) for i in want for j, w in rows.items() if i != j}
+    assert got == {(i, j): d for (i, j), d in far.items() if d <= want[i][4][0]}
+    assert {i for i, _ in got} == set(want) and knn.within(q, ref.filter("rid < 0"), 5, 8).count() == 0
+
+
+def test_best_of_many_equal_rows():
+    """Ties go to the smaller row in whatever order and pieces they come."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (3000, 4)) * 10000
+    rids = rng.permutation(3000)
+    q = np.arange(0, 3000, 100)
+    best = blocks._Best(rids[q], x[q], np.full(len(q), blocks.FAR), 5)
+    for at in range(0, 3000, 700):
+        best.offer(np.arange(len(q)), rids[at : at + 700], x[at : at + 700], rids[at : at + 700])
+    for i, place in enumerate(q):
+        d = ((x - x[place]) ** 2).sum(1)
+        nearest = [(int(d[j]), int(rids[j])) for j in np.lexsort((rids, d)) if j != place][:5]
+        mine = best.held["q"] == i
+        assert sorted(zip(best.held["d"][mine].tolist(), best.held["rid"][mine].tolist(), strict=True)) == nearest
+
+
 def test_squares_of_large_numbers_are_exact():
     a, b = np.array([[2**30, -5], [3, 4]]), np.array([[-(2**30), 7]])
     assert blocks.squares(a, b).tolist() == [[2**62 + 144], [(2**30 + 3) ** 2 + 9]]
