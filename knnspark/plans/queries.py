@@ -232,7 +232,7 @@ of_index("knn5_ivf_topn", lambda x: x.tiered((UNIFORM,) * 6).select(*OUT))
 of_index("knn5_ivf", lambda x: x.tiered(EXTRA).select(*OUT))
 of_index("knn5_ivf_byclass", lambda x: knn.vote(x.tiered(EXTRA)))
 of_index("escalation_gate", lambda x: x.gate())
-of_index("escalate_next_n", lambda x: x.ranks.join(x.gate().select("qid", "extra"), "qid").filter((c("rn") > PROBES) & (c("rn") <= PROBES + c("extra"))).select("qid", "cid", "rn"))
+of_index("escalate_next_n", lambda x: x.ranks.filter(c("rn") <= PROBES + max(EXTRA)).join(x.gate().select("qid", "extra"), "qid").filter((c("rn") > PROBES) & (c("rn") <= PROBES + c("extra"))).select("qid", "cid", "rn"))
 
 
 @query

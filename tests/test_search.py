@@ -215,3 +215,32 @@ def test_percentiles(spark):
     want = sorted(x % 97 for x in range(1000))
     got = {r.percent: r.value for r in evaluate.percentile_rows(v, "x", [0, 50, 99]).collect()}
     assert got == {p: want[1000 * p // 100] for p in (0, 50, 99)}
+
+
+@pytest.fixture
+def probed(monkeypatch):
+    """The (query, cluster) pairs of each cluster search."""
+    seen, search = [], ivf.nearest_of
+
+    def record(probes, *more):
+        seen.append([(r.qid, r.cid) for r in probes.select("qid", "cid").collect()])
+        return search(probes, *more)
+
+    monkeypatch.setattr(ivf, "nearest_of", record)
+    return seen
+
+
+def once(seen):
+    pairs = [p for search in seen for p in search]
+    return len(pairs) == len(set(pairs)) > 0
+
+
+def test_no_cluster_is_searched_twice(data, probed):
+    ref, q, want = data
+    centroids = ivf.train(ref, 8, 2, DIMS)
+    assigned = ivf.assign(ref, centroids).cache()
+    assert lists(ivf.tiered(q, assigned, centroids, DIMS, 1, (1,) * 6, (7,) * 6)) == want  # all look at all clusters
+    assert len(probed) == 2 and once(probed)
+    probed.clear()
+    assert lists(ivf.pruned(q, assigned, centroids, ivf.statistics(assigned, DIMS), DIMS, 2)) == want
+    assert len(probed) == 2 and once(probed)
