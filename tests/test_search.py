@@ -244,3 +244,10 @@ def test_no_cluster_is_searched_twice(data, probed):
     probed.clear()
     assert lists(ivf.pruned(q, assigned, centroids, ivf.statistics(assigned, DIMS), DIMS, 2)) == want
     assert len(probed) == 2 and once(probed)
+
+
+def test_scored_requests_do_not_carry_their_plan(spark):
+    from knnspark.plans import queries
+
+    plan = queries.QUERIES["score_partitioned"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "get_json_object" not in plan  # those of the events' table
