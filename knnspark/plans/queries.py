@@ -63,7 +63,8 @@ class Index:
         return ivf.tiered(self.q, self.assigned, self.centroids, DIMS, PROBES, THRESHOLDS, more)
 
     def exact(self) -> DataFrame:
-        return knn.brute(self.q, self.ref, DIMS)
+        """By partitions: as brute force, with less to compare."""
+        return partitioned.search(self.q, self.ref, partitioned.boxes(self.ref, ["pkey"], DIMS), DIMS, ["pkey"])
 
     def records(self) -> DataFrame:
         fast = knn.vote(self.fast()).select("qid", F.col("fraud_count").alias("fast_count"), F.col("worst").alias("fast_worst"))
@@ -262,7 +263,8 @@ simple("unknown_merchant_anti", lambda s, d: (e := X.events(s, d)).join(QUERIES[
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = X.vectors(spark, sf_dir).persist()
     q = X.queries_of(ref)
-    rows = knn.vote(knn.brute(q, ref, DIMS)).join(q.select("qid", "label"), "qid")
+    top = partitioned.search(q, ref, partitioned.boxes(ref, ["pkey"], DIMS), DIMS, ["pkey"])
+    rows = knn.vote(top).join(q.select("qid", "label"), "qid")
     return evaluate.confusion(rows, decision.approved(c("fraud_count")), c("label") == 0)
 
 

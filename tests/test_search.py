@@ -246,6 +246,24 @@ def test_no_cluster_is_searched_twice(data, probed):
     assert len(probed) == 2 and once(probed)
 
 
+@pytest.mark.parametrize("name", ["calib_class_breakdown", "calib_thresholds", "count_mismatch", "knn_recall_at5", "confusion_matrix"])
+def test_exact_neighbours_need_not_compare_all(spark, monkeypatch, name):
+    from knnspark.plans import queries
+
+    def compare(*_):
+        raise AssertionError("every pair is compared")
+
+    want = sorted(map(tuple, queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(knn, "brute", compare)
+    assert sorted(map(tuple, queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_recall_counts_what_was_found(spark):
+    rows = lambda pairs: spark.createDataFrame(pairs, "qid long, rid long")
+    assert tuple(knn.recall(rows([(1, 2), (1, 9), (2, 4)]), rows([(1, 2), (1, 3), (2, 4)])).first()) == (2, 3)
+    assert tuple(knn.recall(rows([]), rows([])).first()) == (0, 0)
+
+
 def test_scored_requests_do_not_carry_their_plan(spark):
     from knnspark.plans import queries
 
