@@ -72,14 +72,14 @@ class Index:
         return fast.join(full, "qid").join(self.q.select("qid", (F.col("label") == 0).alias("expected")), "qid")
 
     def sweep(self, values: list[int], gated: bool) -> DataFrame:
-        """extra_n, qid, fast_count, count: the gate and the ranks are made once, each setting's candidates are searched by blocks."""
-        gate = self.gate().select("qid", "escalate", F.col("fraud_count").alias("fast_count")).persist()
-        ranks = self.ranks.filter(F.col("rn") <= PROBES + max(values)).join(gate, "qid").persist()
-        votes = []
-        for v in values:
-            extra = F.when(F.col("escalate"), v).otherwise(0) if gated else F.lit(v)
-            top = ivf.nearest_of(ranks.filter(F.col("rn") <= PROBES + extra), self.q, self.assigned, DIMS)
-            votes.append(top.groupBy("qid").agg(F.sum("label").alias("count")).withColumn("extra_n", F.lit(v)))
+        """extra_n, qid, fast_count, count: each further cluster of a query is searched once, a setting takes what it may see."""
+        fast = self.fast().persist()
+        gate = ivf.gate(knn.vote(fast), THRESHOLDS, EXTRA).select("qid", "escalate", F.col("fraud_count").alias("fast_count")).persist()
+        ranks = self.ranks
+        if gated:
+            ranks = ranks.join(gate.filter("escalate").select("qid"), "qid")
+        tops = ivf.banded(ranks, self.q, self.assigned, DIMS, fast, PROBES, values)
+        votes = [top.groupBy("qid").agg(F.sum("label").alias("count")).withColumn("extra_n", F.lit(v)) for v, top in tops.items()]
         return reduce(DataFrame.unionByName, votes).join(gate.select("qid", "fast_count"), "qid").join(self.q.select("qid", F.col("label").alias("ql")), "qid")
 
 

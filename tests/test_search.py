@@ -246,6 +246,17 @@ def test_no_cluster_is_searched_twice(data, probed):
     assert len(probed) == 2 and once(probed)
 
 
+def test_sweep_equals_each_setting_alone(data, probed):
+    ref, q, want = data
+    centroids = ivf.train(ref, 8, 2, DIMS)
+    assigned = ivf.assign(ref, centroids).cache()
+    tops = ivf.banded(ivf.scores(q, centroids), q, assigned, DIMS, ivf.search(q, assigned, centroids, DIMS, 1), 1, [3, 0, 7])
+    assert len(probed) == 3 and once(probed)
+    assert lists(tops[7]) == want
+    for n in (0, 3):
+        assert lists(tops[n]) == lists(ivf.search(q, assigned, centroids, DIMS, 1 + n))
+
+
 @pytest.mark.parametrize("name", ["calib_class_breakdown", "calib_thresholds", "count_mismatch", "knn_recall_at5", "confusion_matrix"])
 def test_exact_neighbours_need_not_compare_all(spark, monkeypatch, name):
     from knnspark.plans import queries
