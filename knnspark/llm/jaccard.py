@@ -171,14 +171,25 @@ def _hashes(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
     yield [b.column("h").to_numpy().view(U64)]
 
 
+def held(rows: DataFrame, *key: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of whether rows may hold a key, by the key's xxhash64 and one bit a bucket: what it lets pass still has to be joined, but
+    most texts of others needn't move for that. Its size doesn't grow; with far more keys than buckets it lets all pass."""
+    there = np.packbits(sketch(rows.select(F.xxhash64(*key).alias("h")), _hashes) > 0)
+
+    def test(h: np.ndarray) -> np.ndarray:
+        at = (h.view(U64) >> U64(64 - BITS)).astype(np.int64)
+        return (there[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+    return test
+
+
 def may_hold(rows: DataFrame, *key: str) -> Callable[..., Column]:
-    """A test of whether rows may hold a key, by one bit a bucket: what it lets pass still has to be joined, but most texts of others
-    needn't move for that. Its size doesn't grow; with far more keys than buckets it lets all pass."""
-    there = sketch(rows.select(F.xxhash64(*key).alias("h")), _hashes) > 0
+    """`held` as a function of columns. It takes a Python worker of its own in each task."""
+    of = held(rows, *key)
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        return pd.Series(there[(h.to_numpy().view(U64) >> U64(64 - BITS)).astype(np.int64)])
+        return pd.Series(of(h.to_numpy()))
 
     return lambda *columns: test(F.xxhash64(*columns))
 
@@ -232,15 +243,18 @@ def join(docs: DataFrame, scratch: Scratch, k: int = 3, percent: int = 90, dense
     scratch.drop(each)
     clusters = _clusters(classes.select("id", *parts), orders, dense, scratch)
 
+    wanted = scratch.keep(keys.join(clusters, "id"))
+    of_wanted = held(wanted, "rep")
+
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(of_wanted(b.column("h").to_numpy())))
             for _, _, sets in _sets_of(b, k):
                 sets = [s for s in sets if len(s)]
                 cols = [pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([orders.least(len(s)) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["sig", "n", "need", "d"])
 
-    wanted = scratch.keep(keys.join(clusters, "id"))
-    texts = docs.filter(may_hold(wanted, "rep")("doc_id")).mapInArrow(whole_sets, "sig binary, n int, need int, d binary")
+    texts = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(whole_sets, "sig binary, n int, need int, d binary")
     first = wanted.join(texts, "sig").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("id", "c", "m", "known", "n", "need", "d")]).drop("sig")
     rows = first.select("*", F.col("id").alias("label"), F.lit(0).cast("long").alias("ch"))
     found = []

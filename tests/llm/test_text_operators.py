@@ -326,3 +326,17 @@ def test_quality(spark, none):
 
 def test_digest_of_hash_is_stable():
     assert hashlib.sha256(jaccard.signature(np.array([1, 2], np.uint64))).hexdigest() == hashlib.sha256(jaccard.signature(np.array([2, 1], np.uint64))).hexdigest()
+
+
+def test_wanted_texts_take_no_second_worker(spark, monkeypatch):
+    """The bit test of a text's id runs where its set is made; a UDF beside it doubled the Python workers of each executor."""
+    from knnspark.llm import jaccard
+
+    def udf(*_):
+        raise AssertionError("a Python UDF beside the set maker")
+
+    monkeypatch.setattr(jaccard, "may_hold", udf)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts[:10])] + [(200, texts[3]), (201, None)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: i for i in range(30)} | {100 + i: i for i in range(10)} | {200: 3, 201: 201}
