@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knnspark.constants import DIMS, TOP
@@ -136,11 +136,10 @@ def idx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.load_index(spark, path)[0].select("rid", "v", "label", "cid", "cd")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, label and the transaction as a JSON request; every tenth is malformed."""
-    t = X.tx(spark, sf_dir)
+def request() -> Column:
+    """A row of `tx` as a JSON request."""
     iso = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    body = F.to_json(F.struct(
+    return F.to_json(F.struct(
         c("event_id").cast("string").alias("id"),
         F.struct("amount", "installments", iso(c("ts")).alias("requested_at")).alias("transaction"),
         F.struct("avg_amount", c("tx24").alias("tx_count_24h"), F.when(c("seen") > 0, F.array(c("k").cast("string"))).otherwise(F.array().cast("array<string>")).alias("known_merchants")).alias("customer"),
@@ -148,7 +147,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("is_online", "card_present", c("km_home").cast("double").alias("km_from_home")).alias("terminal"),
         F.when(c("last_ts").isNotNull(), F.struct(iso(c("last_ts")).alias("timestamp"), c("km_last").cast("double").alias("km_from_current"))).alias("last_transaction"),
     ))
-    return t.select("event_id", "label", "amount", body.alias("request"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, label and the transaction as a JSON request; every tenth is malformed."""
+    return X.tx(spark, sf_dir).select("event_id", "label", "amount", request().alias("request"))
 
 
 simple("src_explode_entries", lambda s, d: requests(s, d).select("event_id", F.explode(F.array(F.struct(F.from_json("request", REQUEST).alias("request"), (c("label") == 0).alias("expected")))).alias("e")).select("event_id", c("e.request.transaction.amount").alias("amount"), c("e.expected").alias("expected")))
@@ -323,12 +326,17 @@ of_index("count_mismatch", lambda x: x.records().agg(evaluate.count_if(c("fast_c
 # index objects, settings, artifacts
 @query
 def score_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated requests, scored through a partitioned index that was saved and loaded."""
-    path = shared_path(spark, "tree")
-    index.Partitioned.build(X.vectors(spark, sf_dir)).save(path)
-    asked = shared_path(spark, "requests")  # written: parsing names them for each leaf, which would copy all of their plan
-    requests(spark, sf_dir).filter(c("event_id") % X.EVERY == 0).select(c("event_id").cast("string").alias("id"), "request").write.parquet(asked)
-    return streaming.score(spark.read.parquet(asked), index.Partitioned.load(spark, path))
+    """The stated requests, scored through a partitioned index that was saved and loaded.
+
+    Transactions are made once and written, vectors and requests together: each later plan, and each cached one, then begins at a scan.
+    """
+    path, made = shared_path(spark, "tree"), shared_path(spark, "transactions")
+    asked = c("event_id") % X.EVERY == 0
+    t = X.tx(spark, sf_dir).select("event_id", X.vector().alias("v"), "label", F.when(asked, request()).alias("request"))
+    t.write.parquet(made)
+    t = spark.read.schema(t.schema).parquet(made)
+    index.Partitioned.build(t.select(c("event_id").alias("rid"), "v", "label")).save(path)
+    return streaming.score(t.filter(asked).select(c("event_id").cast("string").alias("id"), "request"), index.Partitioned.load(spark, path))
 
 
 @query

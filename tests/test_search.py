@@ -282,6 +282,17 @@ def test_scored_requests_do_not_carry_their_plan(spark):
     assert "to_json" not in plan and "get_json_object" not in plan  # those of the events' table
 
 
+def test_scoring_makes_its_transactions_once(spark, monkeypatch):
+    """Neither the tree's rows nor the requests carry the plan of the events, which is made one time."""
+    from knnspark.plans import fixtures, queries
+
+    made, plans, tx, save = [], [], fixtures.tx, index.Partitioned.save
+    monkeypatch.setattr(fixtures, "tx", lambda *a: made.append(a) or tx(*a))
+    monkeypatch.setattr(index.Partitioned, "save", lambda self, path: plans.append(self.members._jdf.queryExecution().optimizedPlan().toString()) or save(self, path))
+    queries.QUERIES["score_partitioned"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and "get_json_object" not in plans[0] and "Window" not in plans[0]
+
+
 def test_a_query_meets_few_rows():
     """Near rows lie in few cells and pieces, so that bounds spare nearly all pairs; what is found is exact."""
     rng = np.random.default_rng(4)
