@@ -200,9 +200,9 @@ def dist_l2sq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dist_partial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight dimensions first, the rest for what is left."""
+    """Boxes of near rows, then eight dimensions, the rest for what is left."""
     ref = X.vectors(spark, sf_dir).persist()
-    return knn.within(X.queries_of(ref), ref, TOP, 8)
+    return partitioned.within(X.queries_of(ref), ref, TOP, 8)
 
 
 @query

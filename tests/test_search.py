@@ -130,6 +130,51 @@ def test_rows_within_the_fifth_distance(data, monkeypatch):
     assert {i for i, _ in got} == set(want) and knn.within(q, ref.filter("rid < 0"), 5, 8).count() == 0
 
 
+def test_rows_within_the_fifth_distance_lie_in_few_cells(spark, data, monkeypatch):
+    """Boxes spare the query of `dist_partial_filter` nearly all pairs; its rows are those of all pairs, ties and copies included."""
+    from knnspark.plans import queries
+
+    ref, q, _ = data
+    rows = lambda df: sorted(map(tuple, df.select("qid", "rid", "d").collect()))
+    copies = ref.unionByName(ref.withColumn("rid", F.col("rid") + 400)).cache()
+    asked = copies.filter("rid % 20 = 0").select(F.col("rid").alias("qid"), F.col("v").alias("qv"), "pkey")
+    monkeypatch.setattr(cells, "CELL", 100)
+    want = rows(knn.within(asked, copies, 5, 8))
+    assert rows(partitioned.within(asked, copies, 5, 8)) == want
+    monkeypatch.setattr(blocks, "QUERIES", 7)
+    assert rows(partitioned.within(asked, copies, 5, 8)) == want
+    few = ref.filter("rid < 3")
+    assert rows(partitioned.within(q, few, 5, 8)) == rows(knn.within(q, few, 5, 8)) != []
+    assert rows(partitioned.within(q, ref.filter("false"), 5, 8)) == rows(partitioned.within(q.filter("false"), ref, 5, 8)) == []
+
+    def compare(*_):
+        raise AssertionError("every pair is compared")
+
+    for name in ("nearest", "within"):
+        monkeypatch.setattr(blocks, name, compare)
+    assert queries.QUERIES["dist_partial_filter"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_distance_meets_few_rows(monkeypatch):
+    """Whether or not queries and hits come in parts."""
+    monkeypatch.setattr(cells, "PART", 30)
+    monkeypatch.setattr(cells, "FEW", 3)
+    monkeypatch.setattr(blocks, "HITS", 7)
+    rng = np.random.default_rng(6)
+    x, rids = rng.integers(-10000, 10001, (20_000, 3)), np.arange(20_000)
+    order, pieces = cells._halved(x)
+    q = np.arange(0, 20_000, 400)
+    far = np.sort(((x[q][:, None] - x[None]) ** 2).sum(2), axis=1)[:, 5]
+    asked, met = cells._Asked(q, x[q], far), []
+    part = blocks._Distances(x[q][:, :2])
+    to = part.to
+    part.to = lambda rows: lambda of, a, b: (met.append(len(of) * (b - a)), to(rows)(of, a, b))[1]
+    got = [r for b in cells._near(asked, part, 2, np.arange(len(q)), rids[order], x[order], pieces) for r in b.to_pylist()]
+    assert 0 < sum(met) < 0.1 * len(q) * len(x)
+    d = ((x[q][:, None] - x[None]) ** 2).sum(2)
+    assert sorted((r["qid"], r["rid"], r["d"]) for r in got) == sorted((int(q[i]), int(j), int(d[i, j])) for i, j in zip(*np.nonzero(d <= far[:, None]), strict=True) if q[i] != j)
+
+
 def test_best_of_many_equal_rows():
     """Ties go to the smaller row in whatever order and pieces they come."""
     rng = np.random.default_rng(3)
