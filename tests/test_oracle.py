@@ -1,6 +1,7 @@
 """A cross-section of the registered queries against DuckDB at the smallest scale."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -34,6 +35,34 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["kdtree_leaves"])
+def test_leaves_go_on_where_the_sql_ends(spark, name):
+    """The SQL splits four times; with as many levels as leaves of 128 rows need it gives the query's rows, and these hold its own."""
+    from knnspark.plans import oracle
+
+    sf, con, levels = "/root/testdata/sf0.1", duckdb.connect(), 7  # 9,960 rows in the largest partition
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    sql = oracle.ORACLE_SQL[name]
+    tree = f"WITH {oracle.TREE}"
+    assert sql.startswith(tree)
+    deeper = ",".join(oracle.split(n) for n in range(oracle.LEVELS + 1, levels + 1))
+    more = f"{tree},{deeper}" + sql.removeprefix(tree).replace(f"FROM l{oracle.LEVELS}", f"FROM l{levels}")
+    df = entry.queries()[name](spark, sf)
+    got = df.collect()
+    answer = con.execute(more)
+    assert rows(df.columns, got) == rows([d[0] for d in answer.description], answer.fetchall())
+    sizes = Counter()
+    for r in got:
+        sizes[r.pkey, r.leaf] += 1 if name == "kdtree_leaves" else r.n
+    assert max(sizes.values()) <= oracle.LEAF
+    joined, theirs = Counter(), Counter()
+    for (pkey, leaf), n in sizes.items():
+        joined[pkey, leaf[: oracle.LEVELS]] += n
+    for pkey, leaf, n in con.execute(f"SELECT pkey, leaf, {'count(*)' if name == 'kdtree_leaves' else 'sum(n)'} FROM ({sql}) GROUP BY pkey, leaf").fetchall():
+        theirs[pkey, leaf] += n
+    assert joined == theirs
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
