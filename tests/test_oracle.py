@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["kdtree_leaves"])
+@pytest.mark.parametrize("name", ["kdtree_leaves", "leaf_bbox"])
 def test_leaves_go_on_where_the_sql_ends(spark, name):
     """The SQL splits four times; with as many levels as leaves of 128 rows need it gives the query's rows, and these hold its own."""
     from knnspark.plans import oracle
